@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entropy_mix, robust_outliers, simhash_ball
+from . import bwt_dedup, entropy_mix, robust_outliers, simhash_ball
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_ball.simhash_groups(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
