@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bwt_dedup, entropy_mix, robust_outliers, simhash_ball
+from . import bin_completion, bwt_dedup, entropy_mix, robust_outliers, simhash_ball
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_completion.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_ball.simhash_groups(table(spark, sf_dir, "documents")).drop("row_key")
 
