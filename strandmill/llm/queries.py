@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_completion, bwt_dedup, entropy_mix, robust_outliers, simhash_ball
+from . import bin_completion, bwt_dedup, entropy_mix, permutation_index, robust_outliers, simhash_ball
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op6_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_ball.simhash_groups(table(spark, sf_dir, "documents")).drop("row_key")
 
