@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_completion, bwt_dedup, entropy_mix, permutation_index, robust_outliers, simhash_ball
+from . import bin_completion, boosted_gam, bwt_dedup, entropy_mix, host_consensus, permutation_index, robust_outliers, simhash_ball
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_outliers.robust_outliers(table(spark, sf_dir, "documents"))
 
 
+def op3_boosted_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosted_gam.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.mix(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op8_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_consensus.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_ball.simhash_groups(table(spark, sf_dir, "documents")).drop("row_key")
 
