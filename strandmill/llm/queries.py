@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_completion, boosted_gam, bwt_dedup, entropy_mix, host_consensus, permutation_index, robust_outliers, simhash_ball
+from . import bin_completion, boosted_gam, bwt_dedup, context_tree, entropy_mix, host_consensus, permutation_index, robust_outliers, simhash_ball
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_outliers.robust_outliers(table(spark, sf_dir, "documents"))
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op3_boosted_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_gam.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
