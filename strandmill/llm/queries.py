@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_completion, boosted_gam, bwt_dedup, context_tree, entropy_mix, host_consensus, permutation_index, robust_outliers, simhash_ball
+from . import bin_completion, boosted_gam, bwt_dedup, context_tree, entropy_mix, host_consensus, permutation_index, quote_links, robust_outliers, simhash_ball
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op6_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.pack_documents(table(spark, sf_dir, "documents"))
 

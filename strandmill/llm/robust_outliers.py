@@ -189,3 +189,11 @@ def robust_outliers(docs: DataFrame, least_group: int = 50, bound: float = CHI2_
 def _renamed(model: DataFrame, level: int) -> DataFrame:
     names = [f"m{i}" for i in range(D)] + [f"l{i}{j}" for i, j in PAIRS]
     return model.where(F.col("g").startswith(str(level))).select(F.col("g").alias(f"g{level}"), *[F.col(c).alias(f"{c}_{level}") for c in names])
+
+
+def keep(docs: DataFrame, least_group: int = 50, bound: float = CHI2_5_FAR) -> DataFrame:
+    """The documents, with their own columns, that robust_outliers keeps. Rows are matched by hashes of id and text, which equal rows share."""
+    key = F.xxhash64("doc_id", "lang", "source", text_or_empty())
+    named = docs.select("lang", "source", "text", key.alias("doc_id"))
+    kept = robust_outliers(named, least_group, bound).where("kept").select(F.col("doc_id").alias("_key")).distinct()
+    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").drop("_key")
