@@ -1 +1 @@
-"""Part of strandmill."""
+"""Read quality control on Spark."""

@@ -42,7 +42,7 @@ def per_base_content(cube: DataFrame, positions: DataFrame) -> DataFrame:
     """grp, base (label), g, a, t, c: percent of the group's A, C, G and T."""
     counts = _by_group(cube, positions, "G", "A", "T", "C")
     total = F.col("n_G") + F.col("n_A") + F.col("n_T") + F.col("n_C")
-    return counts.select("grp", F.col("label").alias("base"), *[F.coalesce(F.try_divide(100.0 * F.col(f"n_{b}"), total), F.lit(0.0)).alias(b.lower()) for b in "GATC"])
+    return counts.select("grp", F.col("label").alias("base"), *[(F.coalesce(F.try_divide(F.col(f"n_{b}").cast("double"), total), F.lit(0.0)) * 100).alias(b.lower()) for b in "GATC"])
 
 
 def per_base_n(cube: DataFrame, positions: DataFrame) -> DataFrame:

@@ -47,12 +47,12 @@ def duplication_levels(cube: DataFrame, total: int, limit: int = 100_000) -> Dat
     sums = slots.agg(F.sum("u").alias("all_u"), F.sum("r").alias("all_r"))
     dense = F.broadcast(axis).join(slots, "slot", "left").crossJoin(F.broadcast(sums))
     return dense.select(
-        "slot", "level", F.coalesce(F.try_divide(100 * F.col("r"), F.col("all_r")), F.lit(0.0)).alias("percent"),
-        F.coalesce(F.try_divide(100 * F.col("all_u"), F.col("all_r")), F.lit(100.0)).alias("deduplicated"),
+        "slot", "level", (F.coalesce(F.try_divide(F.col("r"), F.col("all_r")), F.lit(0.0)) * 100).alias("percent"),
+        (F.coalesce(F.try_divide(F.col("all_u"), F.col("all_r")), F.lit(1.0)) * 100).alias("deduplicated"),
     )
 
 
 def overrepresented(cube: DataFrame, total: int, limit: int = 100_000, least: float = 0.1) -> DataFrame:
     """prefix, n, percent (of all reads, over `least`), most frequent first, then in order of the sequence."""
-    percent = F.col("n") * 100.0 / total
+    percent = F.col("n") / F.lit(float(total or 1)) * 100
     return admitted(cube, limit).select("prefix", "n", percent.alias("percent")).where(F.col("percent") > least).orderBy(F.desc("n"), "prefix") if total else cube.select("prefix", "n", F.lit(0.0).alias("percent")).limit(0)

@@ -151,8 +151,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- content ----------------------------------------------------------------------------------------------------------
 def _content_sql(view: str, length: int) -> str:
     n = lambda b: f"sum(case when base = '{b}' then n else 0 end)"
-    cols = ", ".join(f"100.0::double * {n(b)} / sum(case when base in ('A','C','G','T') then n end) as {b.lower()}" for b in "GATC")
-    return _with(view, f"select grp::int as grp, label as base, {cols} from (select grp, label, base, n from {duckdb_values(base_groups(length))} left join bc on pos between lo and hi) x group by grp, label".replace("label as base, 100", "label as base, 100", 1), BASES)
+    cols = ", ".join(f"{n(b)}::double / sum(case when base in ('A','C','G','T') then n end) * 100 as {b.lower()}" for b in "GATC")
+    return _with(view, f"select grp::int as grp, label as base, {cols} from (select grp, label, base, n from {duckdb_values(base_groups(length))} left join bc on pos between lo and hi) x group by grp, label", BASES)
 
 
 for _name, _view, _length in (("per_base_content", "short", SHORT_MAX), ("per_base_content_grouped", "mid", MID_MAX)):
@@ -232,7 +232,7 @@ def _dup_levels(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
 query("dedup_percent", _with("long", "select round(100*sum(u)/sum(r), 9) as deduplicated from ds", *DUPS))(lambda s, d: _dup_levels(s, d, "long").groupBy().agg(F.max("deduplicated").alias("deduplicated")))
 
 
-@query("overrepresented", _with("long", "select prefix, n, percent from (select prefix, n, n*100.0::double/(select count(*) from pf) as percent from du) where percent > 0.1", *DUPS))
+@query("overrepresented", _with("long", "select prefix, n, percent from (select prefix, n, n::double/(select count(*) from pf)*100 as percent from du) where percent > 0.1", *DUPS))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = _reads(spark, sf_dir, "long")
     return duplication.overrepresented(cubes.duplicate_cube(reads), reads.count())
@@ -356,6 +356,22 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+# --- streaming --------------------------------------------------------------------------------------------------------
+@query(
+    "windowed_quality",
+    """select time_bucket(interval 1 hour, ts) as start, count(*)::bigint as n, sum(length(s))::bigint as bases, sum(length(s) - length(replace(replace(s, 'G', ''), 'C', '')))::bigint as gc,
+ sum((ascii(substr(q, 1, 1)) + ascii(substr(q, 2, 1)) + ascii(substr(q, 3, 1)) + ascii(substr(q, 4, 1))) // 4)::bigint as mean_quality_sum
+ from (select ts, translate(substr(md5(event_id::varchar), 1, 20), '0123456789abcdef', 'ACGTACGTACGTACGN') as s, translate(substr(md5(event_id::varchar), 1, 4), '0123456789abcdef', 'IIIIHHGGFEDC@?:5') as q from events) group by 1""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.windows import windowed_quality
+
+    m = F.md5(F.col("event_id").cast("string"))
+    made = lambda n, to: F.translate(F.substring(m, 1, n), "0123456789abcdef", to)
+    reads = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", made(20, "ACGTACGTACGTACGN").alias("sequence"), made(4, "IIIIHHGGFEDC@?:5").alias("quality"))
+    return windowed_quality(reads)
+
+
 # --- all of it --------------------------------------------------------------------------------------------------------
 @query("module_status")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
