@@ -1,9 +1,9 @@
 """Approximate nearest neighbours with a permutation index.
 
 A vector is represented by the order of its `prefix` nearest pivots. Vectors are indexed in blocks; each block has one
-inverted file a pivot, with the vectors that have it in their prefix and at which rank. A query adds up footrule agreement
-(prefix minus the difference of ranks) over the inverted files of its own prefix; the `share` of the block's vectors that agree most
-are reranked by the exact inner product in double precision. Every row is indexed; only the pivots are a bounded sample.
+inverted file a pivot, with the vectors that have it in their prefix and at which rank. A query's footrule distance is
+the sum of rank differences over its own prefix, a pivot that a vector's prefix lacks being placed at rank 2 * `prefix`; it is
+added up over the inverted files of the query's pivots. The `share` of the block's vectors at the least distance is reranked by the exact inner product in double precision. Every row is indexed; only the pivots are a bounded sample.
 
 Largest inner product is turned into nearest distance for choosing pivots' order: vectors get one more component that
 makes all their norms equal, queries have 0 there.
@@ -86,11 +86,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, norm2: float,
 
 def candidates(order: np.ndarray, rows: np.ndarray, ranks: np.ndarray, at: np.ndarray, n: int, most: int) -> np.ndarray:
     """The `most` rows of a block that agree most with a query's pivot order; ties go to the first."""
-    total = np.zeros(n, np.int32)
+    total = np.zeros(n, np.int32)  # how much nearer than a row without any of the query's pivots
     prefix = len(order)
     for j, p in enumerate(order.tolist()):
         own = slice(at[p], at[p + 1])
-        total[rows[own]] += prefix - np.abs(ranks[own] - j)
+        total[rows[own]] += 2 * prefix - j - np.abs(ranks[own] - j)
     if most >= n:
         return np.arange(n)
     least = np.partition(total, n - most)[n - most]
