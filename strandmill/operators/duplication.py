@@ -35,8 +35,12 @@ def corrected(level: Column, seen: Column, at_limit: Column, total: Column) -> C
 
 def duplication_levels(cube: DataFrame, total: int, limit: int = 100_000) -> DataFrame:
     """slot (0..15), level (label), percent of all reads after deduplication is corrected; deduplicated: percent left (100 if empty), in every row."""
-    kept = admitted(cube, limit)
-    levels = kept.groupBy("n").agg(F.count("*").alias("seen")).crossJoin(F.broadcast(count_at_limit(kept, limit)))
+    prefixes = cube.count()
+    if prefixes < limit:  # nothing was frozen: one aggregation of the cube
+        levels = cube.groupBy("n").agg(F.count("*").alias("seen")).withColumn("at_limit", F.lit(total).cast("long"))
+    else:
+        kept = admitted(cube, limit)
+        levels = kept.groupBy("n").agg(F.count("*").alias("seen")).crossJoin(F.broadcast(count_at_limit(kept, limit)))
     exact = levels.select("n", corrected(F.col("n"), F.col("seen"), F.col("at_limit"), F.lit(total).cast("long")).alias("unique"))
     over = F.col("n") - 1
     slot = over

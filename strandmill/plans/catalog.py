@@ -224,9 +224,15 @@ for _view in ("short", "long"):
     )(lambda s, d, v=_view: _dup_levels(s, d, v))
 
 
+def _counted(reads: DataFrame) -> tuple[DataFrame, int]:
+    """The duplicate cube, kept for the several jobs that read it, and the number of reads that it counts."""
+    cube = cubes.duplicate_cube(reads).persist()
+    return cube, cube.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def _dup_levels(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    reads = _reads(spark, sf_dir, view)
-    return duplication.duplication_levels(cubes.duplicate_cube(reads), reads.count()).withColumns({c: F.round(c, 9) for c in ("percent", "deduplicated")})
+    cube, total = _counted(_reads(spark, sf_dir, view))
+    return duplication.duplication_levels(cube, total).withColumns({c: F.round(c, 9) for c in ("percent", "deduplicated")})
 
 
 query("dedup_percent", _with("long", "select round(100*sum(u)/sum(r), 9) as deduplicated from ds", *DUPS))(lambda s, d: _dup_levels(s, d, "long").groupBy().agg(F.max("deduplicated").alias("deduplicated")))
@@ -234,15 +240,13 @@ query("dedup_percent", _with("long", "select round(100*sum(u)/sum(r), 9) as dedu
 
 @query("overrepresented", _with("long", "select prefix, n, percent from (select prefix, n, n::double/(select count(*) from pf)*100 as percent from du) where percent > 0.1", *DUPS))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = _reads(spark, sf_dir, "long")
-    return duplication.overrepresented(cubes.duplicate_cube(reads), reads.count())
+    return duplication.overrepresented(*_counted(_reads(spark, sf_dir, "long")))
 
 
 @query("contaminant_hits")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overrepresented sequences against two listed ones, made of the commonest sequence and of the reverse strand of the next."""
-    reads = _reads(spark, sf_dir, "short")
-    top = duplication.overrepresented(cubes.duplicate_cube(reads), reads.count()).limit(20)
+    top = duplication.overrepresented(*_counted(_reads(spark, sf_dir, "short"))).limit(20)
     first = [r.prefix for r in top.limit(2).collect()]
     turned = first[-1][::-1].translate(str.maketrans("ACGT", "TGCA"))
     return contaminant_hits(top, [("planted", first[0][:28]), ("planted, turned", turned)])
