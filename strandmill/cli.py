@@ -10,7 +10,7 @@ from .config import DEFAULT_LIMITS, Limits, QcConfig, read_pairs
 from .plans.engine import analyze
 from .report.bundle import TEMPLATES, write
 from .session import session
-from .sources.files import expand, file_kind, grouped, read_sequences
+from .sources.files import expand, file_kind, grouped, read_sequences, spooled
 
 
 def _text(path: str) -> str:
@@ -59,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
             if missing := [p for p in paths if not p.startswith("stdin") and not os.path.exists(p)]:
                 raise FileNotFoundError(", ".join(missing))
             kind = file_kind(paths[0], cfg.format)
-            reads = read_sequences(spark, paths, cfg, name).persist()
+            reads = read_sequences(spark, [spooled(p) for p in paths], cfg, name).persist()
             colors = reads.where("colorspace is not null").limit(1).count() > 0
             result = analyze(reads, cfg, name, 33 if kind.startswith(("sam", "bam")) else None, colors)
             write(result, os.path.join(os.path.dirname(paths[0]), name), cfg.outdir, cfg.template, cfg.extract, cfg.delete)

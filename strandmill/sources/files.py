@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
+import sys
+import tempfile
 from collections.abc import Iterator
 from itertools import islice
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,6 +52,15 @@ def expand(paths: list[str], nano: bool = False) -> list[str]:
     return out
 
 
+def spooled(path: str, stream: BinaryIO | None = None) -> str:
+    """Standard input (a path that starts with stdin) as a file, which the tasks can read as they can't the driver's input; other paths as they are."""
+    if not path.startswith("stdin"):
+        return path
+    with tempfile.NamedTemporaryFile(prefix="stdin-", suffix=".fastq", delete=False) as f:
+        shutil.copyfileobj(stream or sys.stdin.buffer, f)
+    return f.name
+
+
 def grouped(paths: list[str], casava: bool = False) -> list[tuple[str, list[str]]]:
     """(sample, files) in order of first sight: with casava, files of one sample together, else each by itself."""
     if not casava:

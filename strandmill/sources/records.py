@@ -10,7 +10,6 @@ import gzip
 import io
 import re
 import struct
-import sys
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -24,8 +23,6 @@ UNMAPPED, REVERSED, FAILED = 0x4, 0x10, 0x200
 
 def open_bytes(path: str) -> BinaryIO:
     """The decompressed stream of a path; gzip (any number of members) and bzip2 are told by extension or by their first bytes."""
-    if path.startswith("stdin"):
-        return sys.stdin.buffer
     with open(path, "rb") as f:
         magic = f.read(2)
     if magic == b"\x1f\x8b" or path.lower().endswith(".gz"):

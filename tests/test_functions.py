@@ -2,6 +2,7 @@ import bz2
 import gzip
 import io
 import math
+import os
 import random
 import struct
 
@@ -15,7 +16,7 @@ from strandmill.functions.contaminants import best_hit, hit_text
 from strandmill.operators import composition, verdicts
 from strandmill.plans.groups import base_groups, label, linear_width
 from strandmill.sources import records
-from strandmill.sources.files import casava_name, expand, file_kind, grouped, nanopore_name
+from strandmill.sources.files import casava_name, expand, file_kind, grouped, nanopore_name, spooled
 
 
 @pytest.mark.parametrize("flags", [{}, {"expgroup": True}, {"nogroup": True}])
@@ -153,3 +154,9 @@ def test_compressed_and_names(tmp_path):
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep" / "x.FAST5").write_bytes(b"")
     assert expand([str(tmp_path)], True) == [str(tmp_path / "deep" / "x.FAST5")]
+
+
+def test_standard_input_is_spooled():
+    path = spooled("stdin", io.BytesIO(gzip.compress(b"@a\nAC\n+\nII\n")))
+    assert len(list(records.records(path, "fastq"))) == 1 and spooled("x.fastq") == "x.fastq"
+    os.remove(path)
