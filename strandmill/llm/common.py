@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dir[0]}"
 
 
+def partition_keys(n: int) -> np.ndarray:
+    """n integers that repartition(n, key) deals to n different partitions (Spark's Murmur3 of an int, seed 42), so that no task gets several buckets."""
+    found, start = np.full(n, -1, np.int64), 0
+    while (missing := found < 0).any():
+        x = np.arange(start, start + 4 * n + 16, dtype=np.uint32)
+        start += len(x)
+        rotate = lambda v, r: (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+        with np.errstate(over="ignore"):
+            h = rotate(np.uint32(42) ^ rotate(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+            h ^= np.uint32(4)
+            for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+                h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+            h ^= h >> np.uint32(16)
+        place = h.view(np.int32).astype(np.int64) % n
+        first, at = np.unique(place, return_index=True)
+        new = missing[first]
+        found[first[new]] = x[at[new]]
+    return found
+
+
 class Scratch:
     """Tables written to shared storage to cut lineage: a lost executor rereads them instead of redoing the work before them."""
 

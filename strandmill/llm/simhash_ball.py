@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, partition_keys
 from .components import components
 
 BITS, SEED = 64, 42
@@ -95,8 +95,8 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64), np.frombuffer(raw, "<u2", n, 4 + 8 * n)
 
 
-def _emit(batches: Iterator[pa.RecordBatch], turn: int, buckets: int, half: int) -> Iterator[pa.RecordBatch]:
-    flips = masks(half)
+def _emit(batches: Iterator[pa.RecordBatch], turn: int, keys: np.ndarray, half: int) -> Iterator[pa.RecordBatch]:
+    flips, buckets = masks(half), len(keys)
     own = syndromes(flips)
     for b in batches:
         fps = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -115,7 +115,7 @@ def _emit(batches: Iterator[pa.RecordBatch], turn: int, buckets: int, half: int)
             cuts = np.searchsorted(v, np.array([(j << 64) // buckets for j in range(1, buckets)], np.uint64)) if buckets > 1 else np.array([], np.int64)
             edges = [0, *cuts.tolist(), len(v)]
             full = [j for j in range(buckets) if edges[j] < edges[j + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([_pack(v[edges[j] : edges[j + 1]], i[edges[j] : edges[j + 1]]) for j in full], pa.binary())], ["bucket", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[full], pa.int32()), pa.array([_pack(v[edges[j] : edges[j + 1]], i[edges[j] : edges[j + 1]]) for j in full], pa.binary())], ["bucket", "blob"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch], half: int) -> Iterator[pa.RecordBatch]:
@@ -146,10 +146,11 @@ def links(fps: DataFrame, scratch: Scratch, half: int = 2) -> DataFrame:
     n = fps.count()
     per_round = max(1, n * len(masks(half)) >> ROUND_BITS)
     buckets = max(1, -(-per_round // VALUES_PER_BUCKET))
+    keys = partition_keys(buckets)
     spread = scratch.write(fps.repartition(max(6, -(-n // (2 * BATCH)))))
     out = []
     for turn in range(1 << ROUND_BITS):
-        blobs = spread.mapInArrow(lambda x, t=turn: _emit(x, t, buckets, half), "bucket int, blob binary")
+        blobs = spread.mapInArrow(lambda x, t=turn: _emit(x, t, keys, half), "bucket int, blob binary")
         met = blobs.repartition(buckets, "bucket").mapInArrow(lambda x: _meet(x, half), "a long, b long")
         out.append(scratch.write(met.distinct()))
         del blobs, met
