@@ -22,6 +22,7 @@ table gives an empty result. Texts of any length are cut into overlapping pieces
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import pickle
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, partition_keys, text_or_empty
 
 LENGTH, GRAM = 400, 16
 BATCH_BYTES, PIECE_BYTES, POSITION_BITS = 1 << 22, 1 << 22, 24
@@ -127,13 +128,13 @@ def _shard(docs: list[tuple[int, int, int, bytes]], reducers: int, length: int)
     return routes, blobs
 
 
-def _map(batches: Iterator[pa.RecordBatch], reducers: int, length: int) -> Iterator[pa.RecordBatch]:
+def _map(batches: Iterator[pa.RecordBatch], keys: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, int, int, bytes]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        routes, blobs = _shard(held, reducers, length)
-        return pa.RecordBatch.from_arrays([pa.array(routes, pa.int32()), pa.array(blobs, pa.binary())], ["reducer", "blob"])
+        routes, blobs = _shard(held, len(keys), length)
+        return pa.RecordBatch.from_arrays([pa.array(keys[routes], pa.int32()), pa.array(blobs, pa.binary())], ["reducer", "blob"])
 
     for b in batches:
         for k1, k2, text in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("text"), strict=True):
@@ -282,10 +283,15 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text = keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), text_or_empty().alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     reducers = max(6, int(3.1 * total / REDUCER_BYTES) + 1)
-    shards = text.mapInArrow(lambda x: _map(x, reducers, length), "reducer int, blob binary")
+    keys = partition_keys(reducers)
+    shards = text.mapInArrow(lambda x: _map(x, keys, length), "reducer int, blob binary")
     spans = shards.repartition(reducers, "reducer").mapInArrow(lambda x: _reduce(x, length), "k1 long, k2 long, first array<long>, past array<long>")
     by_doc = spans.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.flatten(F.collect_list("first")).alias("_first"), F.flatten(F.collect_list("past")).alias("_past"))
-    return keyed.join(Scratch(docs.sparkSession).write(by_doc), ["_k1", "_k2"], "left")
+    found = Scratch(docs.sparkSession).write(by_doc)
+    del shards, spans, by_doc
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the segments' shuffle files before the texts are shuffled
+    return keyed.join(found, ["_k1", "_k2"], "left")
 
 
 def merged(first: list[int] | None, past: list[int] | None) -> list[tuple[int, int]]:
