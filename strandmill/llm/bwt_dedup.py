@@ -13,7 +13,7 @@ The same is done leftwards over the Burrows-Wheeler columns (the symbols that pr
 offset a before its anchor is then repeated if another suffix shares `length - a` symbols rightwards and a leftwards:
 block numbers at any depth are running counts of short common prefixes.
 
-Only anchors are indexed, as refining all suffixes for 400 rounds takes hundreds of CPU hours a GB; results are exact all the same.
+Only anchors are indexed, as refining all suffixes for 400 rounds takes hours of CPU time a GB; results are exact all the same.
 
 Defined cases: a null text is empty; a text shorter than the window has nothing removed unless it is covered from
 elsewhere, which it can't be. Repeated rows count as two documents, each of which makes the other repeated. An empty
