@@ -151,14 +151,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- content ----------------------------------------------------------------------------------------------------------
 def _content_sql(view: str, length: int) -> str:
     n = lambda b: f"sum(case when base = '{b}' then n else 0 end)"
-    cols = ", ".join(f"{n(b)}::double / sum(case when base in ('A','C','G','T') then n end) * 100 as {b.lower()}" for b in "GATC")
+    cols = ", ".join(f"coalesce({n(b)}::double / sum(case when base in ('A','C','G','T') then n end), 0.0) * 100 as {b.lower()}" for b in "GATC")
     return _with(view, f"select grp::int as grp, label as base, {cols} from (select grp, label, base, n from {duckdb_values(base_groups(length))} left join bc on pos between lo and hi) x group by grp, label", BASES)
 
 
 for _name, _view, _length in (("per_base_content", "short", SHORT_MAX), ("per_base_content_grouped", "mid", MID_MAX)):
     query(_name, _content_sql(_view, _length))(lambda s, d, v=_view, n=_length: composition.per_base_content(cubes.base_cube(_reads(s, d, v)), position_frame(s, base_groups(n))))
 
-query("per_base_n_content", _with("short", f"select grp::int as grp, label as base, 100.0::double * sum(case when base = 'N' then n else 0 end) / sum(n) as n_percent from (select grp, label, base, n from {duckdb_values(base_groups(SHORT_MAX))} left join bc on pos between lo and hi) x group by grp, label", BASES))(
+query("per_base_n_content", _with("short", f"select grp::int as grp, label as base, coalesce(100.0::double * sum(case when base = 'N' then n else 0 end) / sum(n), 0.0) as n_percent from (select grp, label, base, n from {duckdb_values(base_groups(SHORT_MAX))} left join bc on pos between lo and hi) x group by grp, label", BASES))(
     lambda s, d: composition.per_base_n(cubes.base_cube(_reads(s, d, "short")), position_frame(s, base_groups(SHORT_MAX)))
 )
 
