@@ -31,6 +31,8 @@ SCALE = 1000
 FLOORS = (0.08, 0.35, 0.5, 0.5, 0.35)
 #: Distance classes: BINS_PER_UNIT for each unit of log squared distance, BINS in all.
 BINS, BINS_PER_UNIT = 1024, 32
+#: Rows of a group (the whole table is one) meet its estimate in so many parts.
+SALTS = 32
 #: Fixed values. For 5 dimensions: the factor that makes the covariance of the nearest 75 % consistent for a normal
 #: distribution; the 0.975 and the 1 - 1e-10 quantile of chi-square with 5 degrees of freedom.
 CONSISTENCY_75, CHI2_5_0975, CHI2_5_FAR = 1.41, 12.83, 55.6
@@ -141,13 +143,14 @@ def _bin(d2: Column) -> Column:
 
 
 def estimate(points: DataFrame, scratch: Scratch, coverage: float = 0.75, steps: int = 4) -> DataFrame:
-    """One row a group g: n, means m*, Cholesky factor l* of the reweighted MCD scatter. points: g, x0..x4."""
+    """One row a group g: n, means m*, Cholesky factor l* of the reweighted MCD scatter. points: g, salt, x0..x4."""
     classical = _factor(points.groupBy("g").agg(*_sums()), ["g"], 1.0).select("g", F.lit(1).alias("start"), *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in PAIRS])
     now = scratch.write(_median_start(points).unionByName(classical))
     keys = ["g", "start"]
     for step in range(steps + 1):
         last = step == steps
-        binned = _distance(points.join(now, "g")).withColumn("b", _bin(F.col("d2")))
+        salted = now.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        binned = _distance(points.join(salted, ["g", "salt"])).withColumn("b", _bin(F.col("d2")))
         if last:  # reweighting: all that are no outliers at 0.975, not a fixed share
             kept = binned.where(F.col("d2") <= CHI2_5_0975).groupBy("g").agg(*_sums())
             return scratch.write(_factor(kept, ["g"], 1.0))
@@ -167,8 +170,8 @@ def robust_outliers(docs: DataFrame, least_group: int = 50, bound: float = CHI2_
     """doc_id, the base counts, base_failed, kept, distance (squared; null where no group could be estimated), group_level (0: language and source, 1: language, 2: all)."""
     scratch = Scratch(docs.sparkSession)
     stats = scratch.write(statistics(base_counts(docs)))
-    fit = stats.where(~F.col("base_failed")).select(F.array(_key(0), _key(1), _key(2)).alias("_g"), *STATS)
-    points = fit.select(F.explode("_g").alias("g"), *STATS)
+    fit = stats.where(~F.col("base_failed")).select(F.array(_key(0), _key(1), _key(2)).alias("_g"), F.pmod(F.xxhash64("doc_id", *STATS), F.lit(SALTS)).cast("int").alias("salt"), *STATS)
+    points = fit.select(F.explode("_g").alias("g"), "salt", *STATS)
     model = estimate(points, scratch)
     enough = lambda level: _renamed(model.where(F.col("n") >= least_group) if level < 2 else model, level)
     df = stats.withColumns({f"g{k}": _key(k) for k in range(3)})
