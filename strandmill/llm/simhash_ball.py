@@ -7,6 +7,9 @@ connection, and a crowd of m at one value costs m - 1 links, not m squared. Link
 
 Values are shuffled in blobs, not as rows: for each batch of fingerprints and each bucket one sorted, difference-coded,
 compressed array of values with the number of the flipped mask (2 bytes), from which the fingerprint is recovered.
+The pipeline asks for similarity 0.8, which is near 10 bits, beyond any ball that can be emitted. There texts are linked
+besides when their sets of shingles share a MinHash band and an exact check of the two sets finds the similarity.
+
 A value's syndrome (three parities) says in which of eight rounds it is handled, so that a round's shuffle is an eighth
 of the whole; each round's links are written to shared storage.
 
@@ -37,27 +40,39 @@ ROUND_BITS = 3
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 VALUES_PER_BUCKET, BATCH = 3_000_000, 8192
+#: At similarity 0.8 two sets share none of 25 bands of 4 MinHash values with a chance of 2 in a million.
+BANDS, ROWS = 25, 4
+FLIPS, FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32)
+FACTORS |= np.uint32(1)
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """A bit is 1 if it is set in over half of the hashes of the shingles."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each shingle, in order, repeats included."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     n = len(parts)
     if not n:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(parts)
     if n <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
     total = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         total += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    """A bit is 1 if it is set in over half of the hashes of the shingles."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, row_key (of doc_id and text), fp (signed)."""
 
@@ -166,22 +181,112 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 4, half: int = 2, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, row_key, fingerprint (16 hex digits), component_id (least doc_id of the component)."""
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of ROWS MinHash values of the set of hashes."""
+    x = (hashes >> np.uint64(32)).astype(np.uint32) ^ hashes.astype(np.uint32)
+    low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(x), 2048):
+        low = np.minimum(low, ((x[None, k : k + 2048] ^ FLIPS[:, None]) * FACTORS[:, None]).min(1))
+    low = low.reshape(BANDS, ROWS).astype(np.uint64)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(MULTIPLIER)
+    for r in range(ROWS):
+        key = (key ^ low[:, r]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """As fingerprints(), with set_key (a hash of the set of shingles), its size, and its bands; no bands without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, sets, sizes, bands = [], [], [], []
+            for t in b.column("text"):
+                hashes = shingle_hashes(t.as_py(), shingle)
+                fps.append(majority(hashes))
+                own = np.unique(hashes)
+                sets.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                sizes.append(len(own))
+                bands.append(band_keys(own) if len(own) else np.zeros(0, np.int64))
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (fps, sets)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), *signed, pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row_key", "fp", "set_key", "size", "bands"])
+
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(run, "doc_id long, row_key long, fp long, set_key long, size long, bands array<long>")
+
+
+def _verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, scratch: Scratch, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of set keys whose sets have a Jaccard similarity of at least `least`. owners: set_key, row_key."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("set_key"), pa.array(sets, pa.binary())], ["set_key", "hashes"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
+    named = wanted.join(owners, "set_key").select("set_key", "row_key")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(named, "row_key").select("set_key", "text")
+    sets = scratch.write(texts.mapInArrow(read, "set_key long, hashes binary").dropDuplicates(["set_key"]))
+    first = sets.select(F.col("set_key").alias("a"), F.col("hashes").alias("x"))
+    second = sets.select(F.col("set_key").alias("b"), F.col("hashes").alias("y"))
+    return scratch.write(pairs.select("a", "b").join(first, "a").join(second, "b").mapInArrow(check, "a long, b long"))
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, scratch: Scratch, shingle: int, least: float) -> DataFrame:
+    """a, b: links between fingerprints that connect all sets of shingles that share a band and are similar enough.
+
+    In each band's bucket all sets are first held against one of them. Where that leaves a bucket in several components,
+    every pair across components is checked, so nothing that meets in a bucket is passed over."""
+    owners = scratch.write(rows.where("size > 0").groupBy("set_key").agg(F.min("row_key").alias("row_key"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    same = rows.where("size > 0").join(owners.select("set_key", F.col("fp").alias("b")), "set_key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    placed = owners.select("set_key", "size", F.explode("bands").alias("band"))
+    shared = placed.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("band", "set_key").alias("h"), "set_key", "size")).alias("s")).where("n > 1")
+    met = scratch.write(placed.join(shared.select("band", F.col("s.set_key").alias("head"), F.col("s.size").alias("head_size")), "band"))
+    alike = lambda p, q: F.least(p, q) >= F.lit(least) * F.greatest(p, q)  # noqa: E731  a bound on the similarity
+    order = lambda p, q: (F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
+    stars = scratch.write(met.where((F.col("set_key") != F.col("head")) & alike(F.col("size"), F.col("head_size"))).select(*order("set_key", "head")).distinct())
+    found = _verified(docs, owners, stars, scratch, shingle, least)
+    roots = components(found, scratch)
+    rooted = met.join(roots, met["set_key"] == roots["node"], "left").select("band", "set_key", "size", F.coalesce("root", "set_key").alias("root"))
+    split = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    open_ = scratch.write(rooted.join(split, "band"))
+    other = open_.select("band", *[F.col(c).alias(f"{c}_2") for c in ("set_key", "size", "root")])
+    across = open_.join(other, "band").where((F.col("set_key") < F.col("set_key_2")) & (F.col("root") != F.col("root_2")) & alike(F.col("size"), F.col("size_2")))
+    rest = scratch.write(across.select(*order("set_key", "set_key_2")).distinct().join(stars, ["a", "b"], "left_anti"))
+    found = found.unionByName(_verified(docs, owners, rest, scratch, shingle, least))
+    fp = owners.select("set_key", "fp")
+    joined = found.join(fp.select(F.col("set_key").alias("a"), F.col("fp").alias("fa")), "a").join(fp.select(F.col("set_key").alias("b"), F.col("fp").alias("fb")), "b")
+    return same.unionByName(joined.where("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))).distinct()
+
+
+def simhash_groups(docs: DataFrame, shingle: int = 4, half: int = 2, scratch: Scratch | None = None, least: float | None = None) -> DataFrame:
+    """doc_id, row_key, fingerprint (16 hex digits), component_id (least doc_id of the component). With `least`, texts whose
+    sets of shingles have at least that Jaccard similarity are linked too."""
     scratch = scratch or Scratch(docs.sparkSession)
-    rows = scratch.write(fingerprints(docs, shingle))
+    rows = scratch.write(fingerprints(docs, shingle) if least is None else signatures(docs, shingle))
     nodes = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes.select("fp"), scratch, half), scratch)
+    linked = links(nodes.select("fp"), scratch, half)
+    if least is not None:
+        linked = linked.unionByName(similar_links(docs, rows, scratch, shingle, least))
+    roots = components(linked, scratch)
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.write(placed.join(least, "root").select("fp", "component_id"))
+    lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = scratch.write(placed.join(lowest, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, half: int = 2) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 5, half: int = 2, least: float | None = None) -> DataFrame:
     """The documents, with all their columns, but one of each component: that of the least doc_id (row_key breaks ties)."""
     scratch = Scratch(docs.sparkSession)
-    groups = simhash_groups(docs, shingle, half, scratch)
+    groups = simhash_groups(docs, shingle, half, scratch, least)
     # Rows without an id can't share the null component id: each text of theirs stays by its fingerprint.
     key = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
     stay = groups.groupBy(key.alias("k")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("s")).select(F.col("s.row_key").alias("_key"))

@@ -143,6 +143,29 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert kept.count() == len(groups)
 
 
+def test_near_dedup_reaches_similarity(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for n in range(60, 180, 3):
+        w = [word() for _ in range(n)]
+        texts.append(" ".join(w))
+        for edits in (1, 2, 3):
+            own = list(w)
+            for k in range(edits):
+                own[(k + 1) * n // (edits + 1)] = word()
+            texts.append(" ".join(own))
+    texts += [texts[0] + " " + texts[0], "", None, "two words"]
+    sets = [{tuple((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash_ball.near_dedup(df, least=0.8).collect()) == sorted(set(root))
+
+
 def _removed(texts, length):
     data = [(t or "").encode() for t in texts]
     n = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
