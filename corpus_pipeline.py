@@ -19,8 +19,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that occur elsewhere too go from the texts."""
-    return bwt_dedup.strip(docs)
+    """Passages of over 50 words that occur elsewhere too go from the texts."""
+    return bwt_dedup.strip_words(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,9 @@ block numbers at any depth are running counts of short common prefixes.
 
 Only anchors are indexed, as refining all suffixes for 400 rounds takes hours of CPU time a GB; results are exact all the same.
 
+For the pipeline a text is the four-byte codes of its words, so that a window of WORDS words is one of 4 * WORDS bytes; of the
+starts found, those at the first byte of a code count.
+
 Defined cases: a null text is empty; a text shorter than the window has nothing removed unless it is covered from
 elsewhere, which it can't be. Repeated rows count as two documents, each of which makes the other repeated. An empty
 table gives an empty result. Texts of any length are cut into overlapping pieces, which changes no result.
@@ -25,7 +28,9 @@ from __future__ import annotations
 import gc
 import hashlib
 import pickle
-from collections.abc import Iterator
+import re
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +41,23 @@ from pyspark.sql import functions as F
 from .common import Scratch, partition_keys, text_or_empty
 
 LENGTH, GRAM = 400, 16
+#: A passage of over 50 words, and the bytes of a word's code.
+WORDS, CODE = 51, 4
 BATCH_BYTES, PIECE_BYTES, POSITION_BITS = 1 << 22, 1 << 22, 24
 #: Bytes of segments (3.1 for each byte of text) that a reducer gets on average.
 REDUCER_BYTES = 48_000_000
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+def plain_bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def word_codes(text: str) -> bytes:
+    parts = plain_bytes(text).split()
+    return np.fromiter(map(zlib.crc32, parts), "<u4", len(parts)).tobytes()
+
+
 def gram_hashes(buf: bytes) -> np.ndarray:
     """A 64-bit hash of the 16 bytes from each place on."""
     n = len(buf) - GRAM + 1
@@ -128,7 +144,7 @@ def _shard(docs: list[tuple[int, int, int, bytes]], reducers: int, length: int)
     return routes, blobs
 
 
-def _map(batches: Iterator[pa.RecordBatch], keys: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+def _map(batches: Iterator[pa.RecordBatch], keys: np.ndarray, length: int, encode: Callable[[str], bytes] = plain_bytes) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, int, int, bytes]] = []
     size = 0
 
@@ -138,7 +154,7 @@ def _map(batches: Iterator[pa.RecordBatch], keys: np.ndarray, length: int) -> It
 
     for b in batches:
         for k1, k2, text in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("text"), strict=True):
-            data = text.as_py().encode("utf-8", "surrogatepass")
+            data = encode(text.as_py())
             if len(data) < length:
                 continue
             for at, piece in _pieces(data, length):
@@ -275,8 +291,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_k1": F.xxhash64("doc_id", text), "_k2": F.xxhash64(text, F.lit(17), F.col("doc_id"))})
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents with _k1, _k2, _first, _past: starts and ends of byte ranges to remove, of which some overlap; null if none."""
+def repeated_passages(docs: DataFrame, length: int = LENGTH, encode: Callable[[str], bytes] = plain_bytes) -> DataFrame:
+    """The documents with _k1, _k2, _first, _past: starts and ends of byte ranges (of what encode makes of the texts) to remove, of which some overlap; null if none."""
     if not GRAM <= length <= 1 << POSITION_BITS:
         raise ValueError(f"length must be at least {GRAM}")
     keyed = _keyed(docs)
@@ -284,7 +300,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     reducers = max(6, int(3.1 * total / REDUCER_BYTES) + 1)
     keys = partition_keys(reducers)
-    shards = text.mapInArrow(lambda x: _map(x, keys, length), "reducer int, blob binary")
+    shards = text.mapInArrow(lambda x: _map(x, keys, length, encode), "reducer int, blob binary")
     spans = shards.repartition(reducers, "reducer").mapInArrow(lambda x: _reduce(x, length), "k1 long, k2 long, first array<long>, past array<long>")
     by_doc = spans.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.flatten(F.collect_list("first")).alias("_first"), F.flatten(F.collect_list("past")).alias("_past"))
     found = Scratch(docs.sparkSession).write(by_doc)
@@ -330,16 +346,40 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents, with their own columns, without the repeated bytes of their texts. Characters cut in two at the edge of a range go whole. A null text stays null."""
-    found = repeated_passages(docs, length)
+def _stripped(found: DataFrame, docs: DataFrame, ranges: Callable[[bytes, list[int] | None, list[int] | None], list[tuple[int, int]]]) -> DataFrame:
     schema = docs.schema
 
+    def one(text: str | None, first: list[int] | None, past: list[int] | None) -> str | None:
+        if text is None or not first:
+            return text
+        data = plain_bytes(text)
+        return without(data, ranges(data, first, past)).decode("utf-8", "ignore")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             i = b.schema.get_field_index("text")
-            texts = [None if t.as_py() is None else without(t.as_py().encode("utf-8", "surrogatepass"), merged(x.as_py(), y.as_py())).decode("utf-8", "ignore") for t, x, y in zip(b.column("text"), b.column("_first"), b.column("_past"), strict=True)]
+            texts = [one(t.as_py(), x.as_py(), y.as_py()) for t, x, y in zip(b.column("text"), b.column("_first"), b.column("_past"), strict=True)]
             out = b.set_column(i, "text", pa.array(texts, b.schema.field(i).type))
             yield out.select([f.name for f in schema])
 
     return found.select(*docs.columns, "_first", "_past").mapInArrow(run, schema)
+
+
+def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents, with their own columns, without the repeated bytes of their texts. Characters cut in two at the edge of a range go whole. A null text stays null."""
+    return _stripped(repeated_passages(docs, length), docs, lambda _, first, past: merged(first, past))
+
+
+def word_ranges(data: bytes, first: list[int] | None, past: list[int] | None, words: int = WORDS) -> list[tuple[int, int]]:
+    """The byte ranges, each from the first byte of a word to the last of one, of ranges of codes."""
+    starts = [(-(-a // CODE), b // CODE - words) for a, b in zip(first or (), past or (), strict=True)]
+    whole = merged(*zip(*[(a, b + words) for a, b in starts if a <= b], strict=True)) if any(a <= b for a, b in starts) else []
+    if not whole:
+        return []
+    place = [m.span() for m in re.finditer(rb"\S+", data)]
+    return [(place[a][0], place[b - 1][1]) for a, b in whole]
+
+
+def strip_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """As strip(), for each passage of at least `words` words that occurs elsewhere too, whatever its bytes and the white space in it."""
+    return _stripped(repeated_passages(docs, CODE * words, word_codes), docs, lambda data, first, past: word_ranges(data, first, past, words))

@@ -193,6 +193,25 @@ def test_repeated_passages(spark, length):
     assert sorted((str(r.doc_id), str(r.text)) for r in stripped.collect()) == sorted((str(r.doc_id), "None" if r.text is None else w[4].decode("utf-8", "ignore")) for r, w in zip(rows, want, strict=True))
 
 
+def test_repeated_words(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"{rng.randrange(10**5)}" for _ in range(n)]
+    long_, short, letters = prose(rng, 51).split(), fresh(50), [rng.choice("abcdefghij") for _ in range(51)]
+    texts = [fresh(7) + long_ + fresh(9), fresh(60) + long_, fresh(8) + short + fresh(30), short + fresh(40), letters + fresh(3), fresh(4) + letters, ["é"] * 60]
+    rows = [" ".join(t) for t in texts] + ["\n".join(fresh(2)) + "\t" + " \n ".join(long_), None, "", *[r.text for r in documents(spark).collect()]]
+    words = [(t or "").encode().split() for t in rows]
+    n = Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    want = []
+    for w in words:
+        gone = {k for i in range(len(w) - 50) if n[tuple(w[i : i + 51])] > 1 for k in range(i, i + 51)}
+        want.append(b" ".join(x for k, x in enumerate(w) if k not in gone).decode())
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in bwt_dedup.strip_words(df).collect()}
+    assert got[8] is None and got[2] == rows[2] and got[3] == rows[3]
+    assert [b" ".join((got[k] or "").encode().split()).decode() for k in range(len(rows))] == want
+    assert len(want[0].split()) == 16 and len(want[2].split()) == 88 and len(want[4].split()) == 3
+
+
 def test_long_texts_are_cut_without_loss(spark, monkeypatch):
     rng = random.Random(9)
     long_ = "".join(rng.choice("abcdé ") for _ in range(9000))
