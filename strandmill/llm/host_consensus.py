@@ -2,7 +2,8 @@
 
 Each page is parsed into elements and text blocks; blocks under menus, headers, footers, sidebars, notices, adverts, forms
 and reader comments are marked. A page's own best container is found by descending from the root while one child holds
-nearly all unmarked text outside links. Its generalised path (tags with classes, digits as #, places left out) is the page's vote. Votes are
+nearly all unmarked text outside links, but not out of an article or main element, nor where text of the parent's own, an h1, or
+another child of the same kind (or a quotation or section) would be left behind. Its generalised path (tags with classes, digits as #, places left out) is the page's vote. Votes are
 counted by host in Spark; a second pass extracts from the container that the host's pages agree on, and from the page's
 own one only where none of the host's winning paths occurs with text.
 
@@ -49,10 +50,10 @@ DIGITS = re.compile(r"\d+")
 class Page:
     """Elements (parent, path, own score) and blocks (element, text, marked)."""
 
-    __slots__ = ("blocks", "matched", "parent", "path", "score")
+    __slots__ = ("blocks", "matched", "parent", "path", "score", "titled")
 
     def __init__(self, source: str):
-        self.parent, self.path, self.score = [-1], [""], [0.0]
+        self.parent, self.path, self.score, self.titled = [-1], [""], [0.0], [False]
         self.blocks: list[tuple[int, str, bool]] = []
         # The open elements: name, element number, marked, in an article, in a link.
         stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
@@ -71,6 +72,7 @@ class Page:
                     self.blocks.append((element, text, marked))
                     if not marked:
                         self.score[element] += max(len(text) - linked, 0)
+                        self.titled[element] |= any(s[0] == "h1" for s in stack)
                 held.clear()
             linked = 0
 
@@ -144,6 +146,7 @@ class Page:
                 self.parent.append(element)
                 self.path.append(path)
                 self.score.append(0.0)
+                self.titled.append(False)
                 element = len(self.path) - 1
             stack.append((name, element, marked, inside, link or name == "a"))
         flush()
@@ -167,15 +170,22 @@ class Page:
         return total
 
     def own_best(self) -> int:
-        """The deepest container that holds nearly all of what its parent holds."""
-        total = self.totals()
+        """The deepest container that holds nearly all of what its parent holds and leaves no part of an article behind."""
+        total, titled = self.totals(), list(self.titled)
+        for k in range(len(titled) - 1, 0, -1):
+            titled[self.parent[k]] |= titled[k]
+        name = lambda k: self.path[k].rpartition("/")[2]
+        plain = lambda k: name(k).partition(".")[0]
         children: dict[int, list[int]] = {}
         for k in range(1, len(total)):
             children.setdefault(self.parent[k], []).append(k)
         at = 0
         while own := children.get(at):
             top = max(own, key=lambda k: total[k])
-            if total[top] <= 0 or total[top] < DESCEND * total[at]:
+            if total[top] <= 0 or total[top] < DESCEND * total[at] or plain(at) in ("article", "main"):
+                break
+            left = [k for k in own if k != top and total[k] > 0]
+            if plain(top) not in ("article", "main") and (self.score[at] > 0 or any(titled[k] or name(k) == name(top) or plain(k) in ("blockquote", "section") for k in left)):
                 break
             at = top
         return at

@@ -71,6 +71,22 @@ def test_page_text():
     assert page.extract(["/no/such", page.path[page.own_best()]]) == want
 
 
+def test_whole_article_stays(spark):
+    long_ = "Body text of the article, long enough to hold most of it. " * 9
+    parts = ["Title", "The lead.", long_.strip(), "The end."]
+    pages = [
+        f'<body><article><h1>Title</h1><p>The lead.</p><div class="entry-content"><p>{long_}</p></div><p>The end.</p></article><div>other</div></body>',
+        f'<body><div class="post"><h1>Title</h1><p>The lead.</p><div class="entry-content"><p>{long_}</p></div><p>The end.</p></div></body>',
+        f"<body><main><div><h1>Title</h1></div><p>The lead.</p><blockquote>{long_}</blockquote><div>The end.</div></main></body>",
+        f'<body><div class="a"><div class="top"><h1>Title</h1><p>The lead.</p></div><div class="entry"><p>{long_}</p></div><div class="entry"><p>The end.</p></div></div></body>',
+    ]
+    for k, page in enumerate(pages):
+        assert Page(page).extract([]) == "\n\n".join(parts)
+        rows = [(i, f"http://h{k}.example/{i}", page) for i in range(5)]
+        got = host_consensus.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert [r.text for r in got] == ["\n\n".join(parts)] * 5
+
+
 @pytest.mark.parametrize("html", ["", "<", "plain text & more", "</p></div>", "<p", "<p>unclosed <b>bold", "<div " + "x" * 5000, "<!-- open", "<script>never closed", "<p>a" * 3000, "<div>" * 3000 + "deep", "\x00<p>퟿</p>"])
 def test_broken_pages_never_fail(html):
     assert isinstance(Page(html).extract([]), str)
