@@ -340,8 +340,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
  select event_id, out as bases from d where i = length(c)""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decoded(spark, sf_dir).where("event_id < 500")
+
+
+@query("colorspace_decode_all")
+def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's colours; without SQL, as the recursive one above is held to its first 500."""
     colors = F.concat(F.lit("T"), F.translate(F.substring(F.md5(F.col("event_id").cast("string")), 1, 12), "0123456789abcdef", "012301230123012."))
-    return spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 500").select("event_id", C.decode_colors(colors).alias("bases"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", C.decode_colors(colors).alias("bases"))
 
 
 # --- base groups ------------------------------------------------------------------------------------------------------
