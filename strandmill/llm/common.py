@@ -15,6 +15,9 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: A joined table of so many rows at most is broadcast; its rows are a key and a few numbers.
+BROADCAST_ROWS = 20_000
+
 _local_dir: list[str] = []
 
 
@@ -34,10 +37,41 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_PATTERN), lambda w: w != "")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """A name for each of `names` that no column of df has, in any case of letters."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def columns(df: DataFrame, of: str = "") -> list[Column]:
+    """Its columns, whatever signs their names hold. of: an alias."""
+    return [F.col(of + "`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def join_small(rows: DataFrame, small: DataFrame, key: str, spread_by: Column) -> DataFrame:
+    """rows left-joined with small, which has a row at most for each value of `key`.
+
+    A table of at most BROADCAST_ROWS rows (that is counted, not assumed) is broadcast. A larger one meets the rows on (key, salt), the
+    salt being a hash of `spread_by`, so that one key with a third of all rows is spread over as many tasks as there are shuffle partitions."""
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), key, "left")
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (salt,) = unused(rows, "_salt")
+    dealt = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).join(dealt, [key, salt], "left").drop(salt)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a local temporary one only where that is unset and all runs in one process, as in tests."""
     if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return found
+    if not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _local_dir:
         _local_dir.append(tempfile.mkdtemp(prefix="strandmill-"))
     return f"file://{_local_dir[0]}"
