@@ -6,13 +6,18 @@ for all) a minimum-covariance-determinant estimate of location and scatter is ma
 Mahalanobis distance from its group's estimate exceeds a chi-square bound.
 
 The estimate takes concentration steps from two starts: keep the `coverage` share of documents nearest to the present
-centre, and take their mean and covariance as the next one. Each step is one aggregation into at most `BINS` distance
-classes a group, so that no group is ever sorted or gathered. Statistics are whole thousandths, so sums are exact and
-reruns agree. Everything on the main path is DataFrame expressions.
+centre, and take their mean and covariance as the next one, until the determinant falls no further. Each step is one aggregation
+into at most `BINS` distance classes a group, so that no group is ever sorted or gathered; groups that have settled take no part in
+further steps. Statistics are whole thousandths, so sums are exact and reruns agree. Everything on the main path is DataFrame expressions.
+
+A group of under `least_group` documents that pass the base rules has too few to estimate 20 numbers from, and uses its language's
+estimate, or that of all. Documents meet their estimates in one join, on language and source.
 
 Defined cases: a null text counts as no words (base_failed). Null lang and null source are groups of their own. An empty
-table gives an empty result. Repeated rows each get a row. Columns other than doc_id, text, lang, source are ignored.
-A statistic that never varies in a group has the variance floor of `FLOORS`, so it can't make the scatter singular.
+table gives an empty result. Repeated rows each get a row, and count each; equal distances have one class, which is taken whole.
+A very long text is one row like any other: its words and windows are arrays of that row. Columns other than doc_id, text, lang,
+source are ignored, whatever their names, and kept by `keep`. A statistic that never varies in a group has the variance floor of
+`FLOORS`, so it can't make the scatter singular.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, UPPER, text_or_empty, words
+from .common import Scratch, UPPER, join_small, text_or_empty, unused, words
 
 SYMBOLS = "[#*$%&|<>]"
 STATS = ("x0", "x1", "x2", "x3", "x4")
@@ -31,8 +36,8 @@ SCALE = 1000
 FLOORS = (0.08, 0.35, 0.5, 0.5, 0.35)
 #: Distance classes: BINS_PER_UNIT for each unit of log squared distance, BINS in all.
 BINS, BINS_PER_UNIT = 1024, 32
-#: Rows of a group (the whole table is one) meet its estimate in so many parts.
-SALTS = 32
+#: Concentration ends when no step lowers a log determinant by this much.
+SETTLED = 1e-6
 #: Fixed values. For 5 dimensions: the factor that makes the covariance of the nearest 75 % consistent for a normal
 #: distribution; the 0.975 and the 1 - 1e-10 quantile of chi-square with 5 degrees of freedom.
 CONSISTENCY_75, CHI2_5_0975, CHI2_5_FAR = 1.41, 12.83, 55.6
@@ -142,45 +147,53 @@ def _bin(d2: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.log(d2 + 1e-6) + 14) * BINS_PER_UNIT).cast("int")))
 
 
-def estimate(points: DataFrame, scratch: Scratch, coverage: float = 0.75, steps: int = 4) -> DataFrame:
-    """One row a group g: n, means m*, Cholesky factor l* of the reweighted MCD scatter. points: g, salt, x0..x4."""
-    classical = _factor(points.groupBy("g").agg(*_sums()), ["g"], 1.0).select("g", F.lit(1).alias("start"), *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in PAIRS])
-    now = scratch.write(_median_start(points).unionByName(classical))
+def estimate(points: DataFrame, scratch: Scratch, coverage: float = 0.75) -> DataFrame:
+    """One row a group g: n, means m*, Cholesky factor l* of the reweighted MCD scatter. points: g, spread, x0..x4."""
+    names = [f"m{i}" for i in range(D)] + [f"l{i}{j}" for i, j in PAIRS]
+    by_start = lambda df: df.groupBy("g").agg(F.collect_list(F.struct("start", *names)).alias("centres"))  # noqa: E731  two a group at most
+    classical = _factor(points.groupBy("g").agg(*_sums()), ["g"], 1.0).select("g", F.lit(1).alias("start"), *names)
+    now = scratch.write(_median_start(points).unionByName(classical).withColumn("log_det", F.lit(float("inf"))).select("g", "start", *names, "log_det"))
+    settled = []
     keys = ["g", "start"]
-    for step in range(steps + 1):
-        last = step == steps
-        salted = now.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        binned = _distance(points.join(salted, ["g", "salt"])).withColumn("b", _bin(F.col("d2")))
-        if last:  # reweighting: all that are no outliers at 0.975, not a fixed share
-            kept = binned.where(F.col("d2") <= CHI2_5_0975).groupBy("g").agg(*_sums())
-            return scratch.write(_factor(kept, ["g"], 1.0))
-        by_bin = binned.groupBy(*keys, "b").agg(*_sums())
+    while now.limit(1).count():
+        centres = scratch.write(by_start(now))
+        met = join_small(points, centres, "g", F.col("spread")).where(F.col("centres").isNotNull())
+        near = met.select("g", *STATS, F.explode("centres").alias("c")).select("g", *STATS, "c.*")
+        by_bin = _distance(near).withColumn("b", _bin(F.col("d2"))).groupBy(*keys, "b").agg(*_sums())
         w = Window.partitionBy(*keys)
         cum = by_bin.withColumn("_c", F.sum("n").over(w.orderBy("b"))).withColumn("_a", F.sum("n").over(w))
-        near = cum.where(F.col("_c") - F.col("n") < coverage * F.col("_a")).groupBy(*keys).agg(*_resum())
-        nxt = _factor(near, keys, CONSISTENCY_75)
-        if step == steps - 1:  # the start with the least determinant goes on
-            best = Window.partitionBy("g").orderBy("log_det", "start")
-            nxt = nxt.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
-        now = scratch.write(nxt.drop("n", "log_det"))
-    raise AssertionError("unreachable")
+        nearest = cum.where(F.col("_c") - F.col("n") < coverage * F.col("_a")).groupBy(*keys).agg(*_resum())
+        new = _factor(nearest, keys, CONSISTENCY_75).drop("n")
+        compared = scratch.write(new.join(now.select(*keys, F.col("log_det").alias("before")), keys).withColumn("settled", F.col("log_det") > F.col("before") - SETTLED))
+        settled.append(compared.where("settled").select("g", "start", *names, "log_det"))
+        now = compared.where(~F.col("settled")).select("g", "start", *names, "log_det")
+    if not settled:
+        return scratch.write(_factor(points.groupBy("g").agg(*_sums()), ["g"], 1.0))
+    every = settled[0]
+    for part in settled[1:]:
+        every = every.unionByName(part)
+    best = Window.partitionBy("g").orderBy("log_det", "start")  # the start with the least determinant goes on
+    centres = scratch.write(every.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("g", *names))
+    # Reweighting: all that are no outliers at 0.975, not a fixed share.
+    kept = _distance(join_small(points, centres, "g", F.col("spread"))).where(F.col("d2") <= CHI2_5_0975).groupBy("g").agg(*_sums())
+    return scratch.write(_factor(kept, ["g"], 1.0))
 
 
 def robust_outliers(docs: DataFrame, least_group: int = 50, bound: float = CHI2_5_FAR) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, distance (squared; null where no group could be estimated), group_level (0: language and source, 1: language, 2: all)."""
     scratch = Scratch(docs.sparkSession)
-    stats = scratch.write(statistics(base_counts(docs)))
-    fit = stats.where(~F.col("base_failed")).select(F.array(_key(0), _key(1), _key(2)).alias("_g"), F.pmod(F.xxhash64("doc_id", *STATS), F.lit(SALTS)).cast("int").alias("salt"), *STATS)
-    points = fit.select(F.explode("_g").alias("g"), "salt", *STATS)
+    names = [f"m{i}" for i in range(D)] + [f"l{i}{j}" for i, j in PAIRS]
+    stats = scratch.write(statistics(base_counts(docs)).withColumn("g0", _key(0)))
+    fit = stats.where(~F.col("base_failed")).select(F.array(_key(0), _key(1), _key(2)).alias("_g"), F.xxhash64("doc_id", *STATS).alias("spread"), *STATS)
+    points = fit.select(F.explode("_g").alias("g"), "spread", *STATS)
     model = estimate(points, scratch)
-    enough = lambda level: _renamed(model.where(F.col("n") >= least_group) if level < 2 else model, level)
-    df = stats.withColumns({f"g{k}": _key(k) for k in range(3)})
+    # Each language and source finds its estimate among a row a group; then documents meet the result in one join.
+    groups = stats.select("lang", "source").distinct().select(*[_key(k).alias(f"g{k}") for k in range(3)])
     for level in range(3):
-        df = df.join(enough(level), f"g{level}", "left")
-    names = [f"m{i}" for i in range(D)] + [f"l{i}{j}" for i, j in PAIRS]
-    level = F.when(F.col("m0_0").isNotNull(), 0).when(F.col("m0_1").isNotNull(), 1).when(F.col("m0_2").isNotNull(), 2)
-    df = df.withColumn("group_level", level)
-    df = df.withColumns({c: F.coalesce(*[F.col(f"{c}_{k}") for k in range(3)]) for c in names})
+        own = model.where(F.col("n") >= least_group) if level < 2 else model
+        groups = groups.join(own.select(F.col("g").alias(f"g{level}"), F.struct(F.lit(level).alias("group_level"), *names).alias(f"e{level}")), f"g{level}", "left")
+    found = scratch.write(groups.select("g0", F.coalesce("e0", "e1", "e2").alias("e")).select("g0", "e.*"))
+    df = join_small(stats, found, "g0", F.xxhash64("doc_id", *STATS))
     df = _distance(df)
     return df.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -189,14 +202,10 @@ def robust_outliers(docs: DataFrame, least_group: int = 50, bound: float = CHI2_
     )
 
 
-def _renamed(model: DataFrame, level: int) -> DataFrame:
-    names = [f"m{i}" for i in range(D)] + [f"l{i}{j}" for i, j in PAIRS]
-    return model.where(F.col("g").startswith(str(level))).select(F.col("g").alias(f"g{level}"), *[F.col(c).alias(f"{c}_{level}") for c in names])
-
-
 def keep(docs: DataFrame, least_group: int = 50, bound: float = CHI2_5_FAR) -> DataFrame:
     """The documents, with their own columns, that robust_outliers keeps. Rows are matched by hashes of id and text, which equal rows share."""
     key = F.xxhash64("doc_id", "lang", "source", text_or_empty())
+    (name,) = unused(docs, "_key")
     named = docs.select("lang", "source", "text", key.alias("doc_id"))
-    kept = robust_outliers(named, least_group, bound).where("kept").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").drop("_key")
+    kept = robust_outliers(named, least_group, bound).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, key).join(kept, name, "left_semi").drop(name)
