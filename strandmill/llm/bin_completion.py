@@ -3,16 +3,18 @@
 Texts are tokenised, closed with the end id and cut into pieces of at most `capacity` tokens. Pieces are dealt by hash to
 shards of about `PER_SHARD`, each of which is packed by one task: some hundred thousandths of all sequences are lost at
 shard ends, and no task depends on the size of the whole. Within a shard only the number of pieces of each length counts.
-Bins are completed around the largest remaining piece, best fillings first; fillings that leave room for a remaining
-piece, or that use small pieces where one large piece does, are dominated and not tried. The best-fit-decreasing packing
-is the first incumbent; a branch ends when its waste exceeds what a packing with one bin less may waste, and the
-search ends at the lower bound or after `NODES` further bins.
+Bins are completed around the largest remaining piece by all undominated fillings, of any number of pieces, least waste first. A
+filling is dominated, and not tried, if a piece outside it is as large as some of its pieces together, or larger by no more than the
+room that is left: that piece could stand in for them. The best-fit-decreasing packing is the first incumbent, and each better packing
+found the next; a branch ends when its waste exceeds what a packing with one bin less may waste, and the search ends when the
+incumbent meets the lower bound, or all is searched, or `NODES` fillings were looked at (bin packing is NP-hard; what is cut
+short then is the proof, and every piece is packed all the same).
 
 Ids are those of the tokenizers file; they are computed with tiktoken from the same vocabulary, six times as fast, except for texts
-that hold the special token's string, which go through tokenizers itself.
+that hold the special token's string, or that its pattern matcher gives up on (very long runs of blanks), which go through tokenizers itself.
 
-Defined cases: a null or empty text is the end id alone. Repeated rows are packed each. An empty table gives an empty
-result. A text of any length is cut; every piece but the first is full. Other columns are ignored.
+Defined cases: a null or empty text is the end id alone. Repeated rows are packed each; of pieces of one length any may take a place.
+An empty table gives an empty result. A text of any length is cut; every piece but the first is full. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, text_or_empty
 
 CAPACITY, END_ID = 2048, 0
-PER_SHARD, NODES, SMALL = 20_000, 2_000, 14
+PER_SHARD, NODES = 20_000, 10_000
 SPECIAL = "<|endoftext|>"
 
 
@@ -46,14 +47,20 @@ def encoder(ranks_file: str, json_file: str, pattern: str):
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     slow: list = []
 
+    def by_tokenizers(text: str) -> np.ndarray:
+        if not slow:
+            from tokenizers import Tokenizer
+
+            slow.append(Tokenizer.from_file(json_file))
+        return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
     def encode(text: str) -> np.ndarray:
         if SPECIAL in text:
-            if not slow:
-                from tokenizers import Tokenizer
-
-                slow.append(Tokenizer.from_file(json_file))
-            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
-        return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+            return by_tokenizers(text)
+        try:
+            return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+        except ValueError:  # its matcher's stack has a limit
+            return by_tokenizers(text)
 
     return encode
 
@@ -147,6 +154,20 @@ class _Stock:
                 self.mirror ^= 1 << self.cap - x
         self.left -= len(lengths)
 
+    def sums(self, most: int) -> int:
+        """The totals up to `most` that some of the pieces have, as bits."""
+        mask, reach = (2 << most) - 1, 1
+        rest = self.bits & mask & ~1
+        while rest and reach != mask:
+            x = rest.bit_length() - 1
+            rest ^= 1 << x
+            for _ in range(min(self.count[x], most // x)):
+                before = reach
+                reach |= reach << x & mask
+                if reach == before:
+                    break
+        return reach
+
     def put(self, lengths: tuple[int, ...]) -> None:
         for x in lengths:
             if not self.count[x]:
@@ -155,81 +176,74 @@ class _Stock:
             self.count[x] += 1
         self.left += len(lengths)
 
-    def pair(self, total: int, most: int) -> tuple[int, int] | None:
-        """The pair of this total with the largest piece, of at most `most`."""
-        found = self.bits & (self.mirror >> (self.cap - total)) & ((1 << min(most, total) + 1) - 1)
-        while found:
-            a = found.bit_length() - 1
-            b = total - a
-            if b > a:
-                return None
-            if b > 0 and (a != b or self.count[a] > 1):
-                return a, b
-            found ^= 1 << a
-        return None
-
-
-def _dominated(small: tuple[int, ...], large: tuple[int, ...]) -> bool:
-    """Whether each piece of `large` can hold pieces of `small` so that all have a place."""
-    if not small:
-        return True
-    for i, room in enumerate(large):
-        if small[0] <= room and _dominated(small[1:], (*large[:i], room - small[0], *large[i + 1 :])):
-            return True
-    return False
-
-
-def completions(stock: _Stock, room: int, allowed: int) -> Iterator[tuple[int, ...]]:
-    """Undominated fillings of the room, least waste first, then those of fewer and larger pieces."""
-    if stock.left <= SMALL:
-        items = [x for x in range(room, 0, -1) for _ in range(stock.count[x])]
-        every = {c for k in range(len(items) + 1) for c in combinations(items, k) if sum(c) <= room}
-        every = sorted(every, key=lambda c: (room - sum(c), len(c), [-x for x in c]))
-        kept: list[tuple[int, ...]] = []
-        for c in every:
-            if not any(_dominated(c, k) for k in kept):
-                kept.append(c)
-                yield c
-        return
-    tried = 0
-    below = stock.bits & ((2 << room) - 1)
-    smallest = (below & -below).bit_length() - 1 if below else 0
-    if smallest <= 0:
+
+def _spread(bits: int, most: int) -> int:
+    """Each set bit also at the next `most` places up."""
+    done = 0
+    while done < most:
+        step = min(done + 1, most - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def dominated(filling: tuple[int, ...], slack: int, others: int) -> bool:
+    """Whether a piece outside the filling (others: their lengths as bits) could take the place of some of its pieces: of one that is smaller,
+    or of several that are together no larger, by at most the slack."""
+    one = more = 0
+    for x in filling:
+        more |= (more << x) | (one << x)
+        one |= 1 << x
+    return bool(others & (_spread(more, slack) | (_spread(one << 1, slack - 1) if slack else 0)))
+
+
+def fillings(stock: _Stock, total: int, budget: list[int]) -> Iterator[tuple[int, ...]]:
+    """All multisets of remaining pieces with this total, larger pieces first; lazily, each step being paid from the budget."""
+    if not total:
         yield ()
         return
-    for waste in range(min(room, allowed + 1)):
-        total = room - waste
-        if total < smallest:
-            break
-        if stock.count[total]:
-            tried += 1
-            yield (total,)
-        if two := stock.pair(total, total):
-            tried += 1
-            yield two
-        rest, third = stock.bits & ((1 << total) - 1), 0
-        while rest and third < 8 and tried < 4:
-            x = rest.bit_length() - 1
-            rest ^= 1 << x
-            third += 1
-            stock.take((x,))
-            two = stock.pair(total - x, x) if total - x > 0 else None
-            stock.put((x,))
-            if two:
-                tried += 1
-                yield (x, *two)
-                break
-        if tried >= 4:
-            return
-    # Many small pieces: fill with the largest that fits, again and again.
-    own, left = [], room
-    while fit := stock.bits & ((2 << left) - 1) & ~1:
-        x = fit.bit_length() - 1
-        own.append(x)
+    chosen: list[int] = []
+    left = total
+    tries = [total]  # at each depth the next length to try
+    while tries:
+        budget[0] -= 1
+        fits = stock.bits & ((2 << min(tries[-1], left)) - 1) & ~1
+        x = fits.bit_length() - 1
+        if budget[0] < 0 or x <= 0:
+            tries.pop()
+            if chosen:
+                back = chosen.pop()
+                stock.put((back,))
+                left += back
+            if budget[0] < 0 and not tries:
+                return
+            continue
+        tries[-1] = x - 1
+        if x == left:
+            stock.put(tuple(chosen))  # whoever asks for the next one finds the stock as it was
+            yield (*chosen, x)
+            stock.take(tuple(chosen))
+            continue
         stock.take((x,))
+        chosen.append(x)
         left -= x
-    stock.put(tuple(own))
-    yield tuple(own)
+        tries.append(x)
+
+
+def completions(stock: _Stock, room: int, allowed: int, budget: list[int]) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of the room that waste no more than is allowed, least waste first."""
+    reach = stock.sums(room)
+    for waste in range(min(room, allowed) + 1):
+        if not reach >> (room - waste) & 1:
+            continue
+        for filling in fillings(stock, room - waste, budget):
+            stock.take(filling)
+            others = stock.bits
+            stock.put(filling)
+            if not dominated(filling, waste, others) and not (others & ((2 << waste) - 1) & ~1):
+                yield filling
+        if budget[0] < 0:
+            return
 
 
 def pack(counts: np.ndarray, nodes: int = NODES) -> list[tuple[int, ...]]:
@@ -242,10 +256,10 @@ def pack(counts: np.ndarray, nodes: int = NODES) -> list[tuple[int, ...]]:
     total = int((counts * np.arange(cap + 1)).sum())
     stock = _Stock(counts)
     chosen: list[tuple[int, ...]] = []
-    waste, budget = 0, len(best) + nodes
+    waste, budget = 0, [nodes]
     frames: list[tuple[int, Iterator[tuple[int, ...]]]] = []
     back = False
-    while len(best) > bound and budget > 0:
+    while len(best) > bound:
         if not back:
             if not stock.left:
                 best = list(chosen)
@@ -253,8 +267,8 @@ def pack(counts: np.ndarray, nodes: int = NODES) -> list[tuple[int, ...]]:
                 continue
             top = stock.bits.bit_length() - 1
             stock.take((top,))
-            frames.append((top, completions(stock, cap - top, (len(best) - 1) * cap - total - waste)))
-        if not frames:
+            frames.append((top, completions(stock, cap - top, (len(best) - 1) * cap - total - waste, budget)))
+        if not frames or budget[0] < 0:
             break
         top, options = frames[-1]
         if back and len(chosen) == len(frames):
@@ -262,8 +276,8 @@ def pack(counts: np.ndarray, nodes: int = NODES) -> list[tuple[int, ...]]:
             stock.put(last[1:])
             waste -= cap - sum(last)
         filling = next(options, None)
-        budget -= 1
         if filling is None or waste + cap - top - sum(filling) > (len(best) - 1) * cap - total:
+            options.close()
             stock.put((top,))  # later fillings waste no less
             frames.pop()
             back = True
