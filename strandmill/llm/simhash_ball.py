@@ -15,7 +15,9 @@ of the whole; each round's links are written to shared storage.
 
 Defined cases: a text without words (null, empty, blank) has fingerprint zero and is linked like any other; fewer words
 than a shingle make one shingle. Rows with the same fingerprint are one node. A null doc_id takes no part in the least
-id; a component of such rows only has a null id. Repeated rows each get a row. An empty table gives an empty result.
+id; a component of such rows only has a null id. Repeated rows each get a row. An empty table gives an empty result. A bit that
+is set in exactly half of the hashes is 0. A very long text is hashed whole, its bits being summed in parts. Other columns are ignored,
+whatever their names, and kept by `near_dedup`.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partition_keys
+from .common import Scratch, partition_keys, unused
 from .components import components
 
 BITS, SEED = 64, 42
@@ -40,6 +42,7 @@ ROUND_BITS = 3
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 VALUES_PER_BUCKET, BATCH = 3_000_000, 8192
+HOT = 1000
 #: At similarity 0.8 two sets share none of 25 bands of 4 MinHash values with a chance of 2 in a million.
 BANDS, ROWS = 25, 4
 FLIPS, FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32)
@@ -267,20 +270,30 @@ def similar_links(docs: DataFrame, rows: DataFrame, scratch: Scratch, shingle: i
     return same.unionByName(joined.where("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))).distinct()
 
 
+def _join_hot(rows: DataFrame, named: DataFrame, spark) -> DataFrame:
+    """rows joined with named (a row for each fp, n: how many rows have it). Fingerprints with over 1 / HOT of all rows, of which there can't
+    be more than HOT, are broadcast, so that no task gets all rows of one; the others meet by shuffle."""
+    total = named.agg(F.sum("n")).first()[0] or 0
+    hot = named.where(F.col("n") * HOT > total).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
+    marked = rows.join(F.broadcast(hot), "fp", "left")
+    at_once = marked.where("hot").withColumnRenamed("hot_id", "component_id").drop("hot")
+    return marked.where("hot is null").drop("hot", "hot_id").join(named.drop("n"), "fp").unionByName(at_once)
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 4, half: int = 2, scratch: Scratch | None = None, least: float | None = None) -> DataFrame:
     """doc_id, row_key, fingerprint (16 hex digits), component_id (least doc_id of the component). With `least`, texts whose
     sets of shingles have at least that Jaccard similarity are linked too."""
     scratch = scratch or Scratch(docs.sparkSession)
     rows = scratch.write(fingerprints(docs, shingle) if least is None else signatures(docs, shingle))
-    nodes = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     linked = links(nodes.select("fp"), scratch, half)
     if least is not None:
         linked = linked.unionByName(similar_links(docs, rows, scratch, shingle, least))
     roots = components(linked, scratch)
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.write(placed.join(lowest, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = scratch.write(placed.join(lowest, "root").select("fp", "n", "component_id"))
+    return _join_hot(rows, named, docs.sparkSession).select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, half: int = 2, least: float | None = None) -> DataFrame:
@@ -289,7 +302,8 @@ def near_dedup(docs: DataFrame, shingle: int = 5, half: int = 2, least: float |
     groups = simhash_groups(docs, shingle, half, scratch, least)
     # Rows without an id can't share the null component id: each text of theirs stays by its fingerprint.
     key = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
-    stay = groups.groupBy(key.alias("k")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("s")).select(F.col("s.row_key").alias("_key"))
+    (name,) = unused(docs, "_key")
+    stay = groups.groupBy(key.alias("k")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("s")).select(F.col("s.row_key").alias(name))
     stay = scratch.write(stay.distinct())
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    keyed = docs.withColumn(name, F.xxhash64("doc_id", "text"))
+    return keyed.join(stay, name, "left_semi").dropDuplicates([name]).drop(name)
