@@ -16,11 +16,12 @@ block numbers at any depth are running counts of short common prefixes.
 Only anchors are indexed, as refining all suffixes for 400 rounds takes hours of CPU time a GB; results are exact all the same.
 
 For the pipeline a text is the four-byte codes of its words, so that a window of WORDS words is one of 4 * WORDS bytes; of the
-starts found, those at the first byte of a code count.
+starts found, those at the first byte of a code count. There a passage goes that two documents hold, not one that a single one repeats.
 
 Defined cases: a null text is empty; a text shorter than the window has nothing removed unless it is covered from
 elsewhere, which it can't be. Repeated rows count as two documents, each of which makes the other repeated. An empty
-table gives an empty result. Texts of any length are cut into overlapping pieces, which changes no result.
+table gives an empty result. Texts of any length are cut into overlapping pieces, which changes no result. Equal windows are
+all removed, the first included. Other columns are ignored, whatever their names, and kept by `strip` and `strip_words`.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import Scratch, partition_keys, text_or_empty
+from .common import Scratch, columns, partition_keys, text_or_empty, unused
 
 LENGTH, GRAM = 400, 16
 #: A passage of over 50 words, and the bytes of a word's code.
@@ -196,9 +198,10 @@ def refine(block: np.ndarray, column: np.ndarray, lengths: np.ndarray, at: np.nd
     return order, common
 
 
-def repeated_starts(text: list[bytes], offset: np.ndarray, starts: np.ndarray, count: np.ndarray, group: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int]]]:
+def repeated_starts(text: list[bytes], offset: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """For each unique segment, the runs (first, last) of window starts, from the segment's first byte on, that are
-    repeated. Segments with one anchor hash have one group number; groups are consecutive."""
+    repeated: that occur at two places at least. low and high: the first and last of a segment's places, in any numbering.
+    Segments with one anchor hash have one group number; groups are consecutive."""
     n = len(text)
     data = np.frombuffer(b"".join(text) + b"\0", np.uint8)
     size = np.array([len(x) for x in text], np.int64)
@@ -221,8 +224,8 @@ def repeated_starts(text: list[bytes], offset: np.ndarray, starts: np.ndarray, c
         sort = np.argsort(key, kind="stable")
         key = key[sort]
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        total = np.add.reduceat(count[own][sort], new)
-        hit[own[sort[np.repeat(total >= 2, np.diff(np.append(new, len(key))))]], a] = True
+        twice = np.minimum.reduceat(low[own][sort], new) < np.maximum.reduceat(high[own][sort], new)
+        hit[own[sort[np.repeat(twice, np.diff(np.append(new, len(key))))]], a] = True
     out: list[list[tuple[int, int]]] = []
     for i in range(n):
         row = hit[i, lowest[i] : offset[i] + 1][::-1]  # by start: offset a is start offset - a
@@ -231,7 +234,8 @@ def repeated_starts(text: list[bytes], offset: np.ndarray, starts: np.ndarray, c
     return out
 
 
-def _reduce(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _reduce(batches: Iterator[pa.RecordBatch], length: int, across: bool = False) -> Iterator[pa.RecordBatch]:
+    """across: only what two different rows (by their hashes) hold is repeated, else any two places."""
     shards = []
     expand = zstandard.ZstdDecompressor()
     hashes = []
@@ -248,21 +252,23 @@ def _reduce(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     new = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1]))) if len(flat) else np.zeros(0, np.int64)
     wanted = flat[order][new][np.add.reduceat(counts[order], new) >= 2] if len(flat) else flat
     unique: dict[tuple[int, bytes, int, int], int] = {}
-    count: list[int] = []
     refs: list[list[tuple[np.ndarray, int]]] = []
     while shards:
         h, text, offset, starts, number, keys, doc, place = pickle.loads(expand.decompress(shards.pop(0)))
         keep = np.isin(h, wanted)
         ends = np.cumsum(number)
         for j in np.flatnonzero(keep).tolist():
-            i = unique.setdefault((int(h[j]), text[j], offset[j], starts[j]), len(count))
-            if i == len(count):
-                count.append(0)
+            i = unique.setdefault((int(h[j]), text[j], offset[j], starts[j]), len(refs))
+            if i == len(refs):
                 refs.append([])
-            count[i] += number[j]
             refs[i] += [(keys[doc[k]], int(place[k])) for k in range(ends[j] - number[j], ends[j])]
     rows = sorted(unique.items(), key=lambda x: x[0][0])  # stable: groups in shard order
     found: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+    if across:
+        low, high = (np.array([f(int(key[0]) for key, _ in own) for own in refs], np.int64) for f in (min, max))
+    else:
+        high = np.cumsum([len(own) for own in refs])
+        low = high - [len(own) for own in refs] + 1
     at = 0
     while at < len(rows):
         end = min(len(rows), at + 20_000)
@@ -270,8 +276,9 @@ def _reduce(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             end += 1
         part = rows[at:end]
         at = end
+        which = np.array([i for _, i in part])
         group = np.unique(np.array([k[0] for k, _ in part], np.uint64), return_inverse=True)[1]
-        runs = repeated_starts([k[1] for k, _ in part], np.array([k[2] for k, _ in part]), np.array([k[3] for k, _ in part]), np.array([count[i] for _, i in part]), group, length)
+        runs = repeated_starts([k[1] for k, _ in part], np.array([k[2] for k, _ in part]), np.array([k[3] for k, _ in part]), low[which], high[which], group, length)
         for (_, i), own in zip(part, runs, strict=True):
             for key, place in refs[i] if own else ():
                 got = found.setdefault((int(key[0]), int(key[1])), ([], []))
@@ -285,29 +292,29 @@ def _reduce(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         )
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Two hashes name a row by its id and text; equal rows share them, and count as often as they occur."""
-    text = text_or_empty()
-    return docs.withColumns({"_k1": F.xxhash64("doc_id", text), "_k2": F.xxhash64(text, F.lit(17), F.col("doc_id"))})
+OWN = ("_k1", "_k2", "_first", "_past")
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, encode: Callable[[str], bytes] = plain_bytes) -> DataFrame:
-    """The documents with _k1, _k2, _first, _past: starts and ends of byte ranges (of what encode makes of the texts) to remove, of which some overlap; null if none."""
+def repeated_passages(docs: DataFrame, length: int = LENGTH, encode: Callable[[str], bytes] = plain_bytes, across: bool = False) -> DataFrame:
+    """The documents with the columns that unused(docs, *OWN) names: two hashes that name a row by its id and text (equal rows share them, and
+    count as often as they occur), and starts and ends of byte ranges (of what encode makes of the texts) to remove, of which some overlap; null if none."""
     if not GRAM <= length <= 1 << POSITION_BITS:
         raise ValueError(f"length must be at least {GRAM}")
-    keyed = _keyed(docs)
-    text = keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), text_or_empty().alias("text"))
+    k1, k2, first, past = unused(docs, *OWN)
+    whole = text_or_empty()
+    keyed = docs.withColumns({k1: F.xxhash64("doc_id", whole), k2: F.xxhash64(whole, F.lit(17), F.col("doc_id"))})
+    text = keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), whole.alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     reducers = max(6, int(3.1 * total / REDUCER_BYTES) + 1)
     keys = partition_keys(reducers)
     shards = text.mapInArrow(lambda x: _map(x, keys, length, encode), "reducer int, blob binary")
-    spans = shards.repartition(reducers, "reducer").mapInArrow(lambda x: _reduce(x, length), "k1 long, k2 long, first array<long>, past array<long>")
-    by_doc = spans.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.flatten(F.collect_list("first")).alias("_first"), F.flatten(F.collect_list("past")).alias("_past"))
+    spans = shards.repartition(reducers, "reducer").mapInArrow(lambda x: _reduce(x, length, across), "k1 long, k2 long, first array<long>, past array<long>")
+    by_doc = spans.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.flatten(F.collect_list("first")).alias(first), F.flatten(F.collect_list("past")).alias(past))
     found = Scratch(docs.sparkSession).write(by_doc)
     del shards, spans, by_doc
     gc.collect()
     docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the segments' shuffle files before the texts are shuffled
-    return keyed.join(found, ["_k1", "_k2"], "left")
+    return keyed.join(found, [k1, k2], "left")
 
 
 def merged(first: list[int] | None, past: list[int] | None) -> list[tuple[int, int]]:
@@ -342,12 +349,15 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = repeated_passages(docs, length).select("doc_id", text_or_empty().alias("text"), "_first", "_past")
+    found = repeated_passages(docs.select("doc_id", "text"), length).select("doc_id", text_or_empty().alias("text"), "_first", "_past")
     return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _stripped(found: DataFrame, docs: DataFrame, ranges: Callable[[bytes, list[int] | None, list[int] | None], list[tuple[int, int]]]) -> DataFrame:
-    schema = docs.schema
+    """The rows go along as structs, so that their columns can have any names and types."""
+    _, _, first, past = unused(docs, *OWN)
+    others = [c for c, name in zip(columns(docs), docs.columns, strict=True) if name != "text"]
+    packed = found.select(F.struct(*others).alias("row"), "text", F.col(first).alias("first"), F.col(past).alias("past"))
 
     def one(text: str | None, first: list[int] | None, past: list[int] | None) -> str | None:
         if text is None or not first:
@@ -357,12 +367,11 @@ def _stripped(found: DataFrame, docs: DataFrame, ranges: Callable[[bytes, list[i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            i = b.schema.get_field_index("text")
-            texts = [one(t.as_py(), x.as_py(), y.as_py()) for t, x, y in zip(b.column("text"), b.column("_first"), b.column("_past"), strict=True)]
-            out = b.set_column(i, "text", pa.array(texts, b.schema.field(i).type))
-            yield out.select([f.name for f in schema])
+            texts = [one(t.as_py(), x.as_py(), y.as_py()) for t, x, y in zip(b.column("text"), b.column("first"), b.column("past"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    return found.select(*docs.columns, "_first", "_past").mapInArrow(run, schema)
+    schema = StructType([StructField("row", packed.schema["row"].dataType), StructField("text", StringType())])
+    return packed.mapInArrow(run, schema).select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -381,5 +390,6 @@ def word_ranges(data: bytes, first: list[int] | None, past: list[int] | None, wo
 
 
 def strip_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """As strip(), for each passage of at least `words` words that occurs elsewhere too, whatever its bytes and the white space in it."""
-    return _stripped(repeated_passages(docs, CODE * words, word_codes), docs, lambda data, first, past: word_ranges(data, first, past, words))
+    """As strip(), for each passage of at least `words` words that another document holds too, whatever its bytes and the white space in it.
+    Rows of equal doc_id and text are one document."""
+    return _stripped(repeated_passages(docs, CODE * words, word_codes, across=True), docs, lambda data, first, past: word_ranges(data, first, past, words))
