@@ -4,7 +4,9 @@ import random
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, count string"
+#: After the columns of documents, some whose names operators use themselves, with values and types of their own.
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, count string, _key string, _k1 string, _copy int, _size string, _salt date, key array<int>, `a.b` double, component_id string, _first int"
+OWN = (0, 7, "x", "k", "k1", 5, "s", None, [1, 2], 0.5, "c", 9)
 SYLLABLES = "the and ing er on re ti en at th st nd".split()
 
 
@@ -29,9 +31,9 @@ def documents(spark, rows=None, seed=1):
     """rows: texts. Extra columns clash with names that operators use; one row is repeated; ids and sources may be null."""
     rng = random.Random(seed)
     rows = texts(rng) if rows is None else rows
-    data = [(k, t, rng.choice(["en", "fr", None]), rng.choice(["a", "a", "b", None]), 0, 7, "x") for k, t in enumerate(rows)]
+    data = [(k, t, rng.choice(["en", "fr", None]), rng.choice(["a", "a", "b", None]), *OWN) for k, t in enumerate(rows)]
     if rows:
-        data += [data[0], (None, "no id here at all", None, None, 0, 7, "x")]
+        data += [data[0], (None, "no id here at all", None, None, *OWN)]
     return spark.createDataFrame(data, DOCS).repartition(4) if data else spark.createDataFrame([], DOCS)
 
 

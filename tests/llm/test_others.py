@@ -67,8 +67,8 @@ def test_page_text():
     page = Page(PAGE)
     want = "Head <line>\n\nFirst part goes on here link\n\nSecond © 2026 ä\n\none\n\ntwo\n\na\n\nb"
     assert page.extract([]) == want
-    assert page.path[page.own_best()].endswith("article.p#.post")
-    assert page.extract(["/no/such", page.path[page.own_best()]]) == want
+    assert page.name[page.own_best()] == "article.p#.post"
+    assert page.extract([1, page.path[page.own_best()]]) == want
 
 
 def test_whole_article_stays(spark):
@@ -92,6 +92,56 @@ def test_broken_pages_never_fail(html):
     assert isinstance(Page(html).extract([]), str)
 
 
+@pytest.mark.parametrize(
+    "html", ["<p " + '"a" ' * 50_000, "<p " * 350_000, "</x>" * 200_000, "<p a=\"'" * 100_000, "<b>" * 20_000 + "<p>x</p>" * 20_000, "<" * 100_000, "<!--" * 100_000, "<svg><b>" * 20_000 + "<p>x", "<title>" * 100_000, "<select>" * 20_000]
+)
+def test_scanner_takes_linear_time(html):
+    import time
+
+    began = time.process_time()
+    Page(html).extract([])
+    assert time.process_time() - began < 10
+
+
+def test_deep_pages_take_linear_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    page = Page("<div>x" * 50_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(page.blocks) == 50_000 and peak < 150_000_000
+
+
+def test_only_raw_elements_hide_what_follows():
+    cases = {
+        "<p>a</p><svg width='1'/>b<p>c</p>": "a\n\nb\n\nc",
+        "<article><p>one</p><select><option>x<p>two</p></article>": "one\n\ntwo",
+        "<article><p>one <math><mi>x</mi></math> two</p><svg><title>drawn</title><text>y</text></svg></article>": "one x two",
+        "<article><p>a<video>no video</video> b</p><noscript>no script</noscript><video src=x><p>more</p></article>": "a b\n\nmore",
+        "<article><p>kept</p><p class=\"x": "kept",
+        "<article><p>a &lt; b < c > d</p></article>": "a < b < c > d",
+        "<p>x<script>if (a < b) '</p>'</script>y</p>": "x y",
+    }
+    for html, want in cases.items():
+        assert Page(html).extract([]) == want, html
+
+
+def test_a_word_within_a_name_is_no_verdict():
+    body = '<section class="search-results"><p>kept one</p></section><div class="related-work">kept two</div><div class="promotion-history">kept three</div><div class="has-sidebar"><p>kept four</p></div>'
+    gone = '<p class="notice">gone</p><div class="related-posts">gone</div><div id="siteFooter">gone</div><div class="post-comments">gone</div><div class="search-paths"><a href=x>one</a> <a href=y>two</a></div>'
+    assert Page(f"<article>{body}{gone}</article>").extract([]) == "kept one\n\nkept two\n\nkept three\n\nkept four"
+
+
+def test_many_hosts_meet_by_shuffle(spark, monkeypatch):
+    from strandmill.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    rows = [(k, f"http://h{k % 7}.example/{k}", f'<div class="c{k}"><p>Text {k} of a page.</p></div><div class="comments">no</div>', "x") for k in range(40)]
+    got = {r.page_id: r.text for r in host_consensus.extract(spark.createDataFrame(rows, "page_id long, url string, html string, _salt string").repartition(3)).collect()}
+    assert got == {k: f"Text {k} of a page." for k in range(40)}
+
+
 def test_hosts_agree(spark):
     body = "<p>Text of the article, long enough to matter here.</p>" * 3
     rows = [(k, f"https://A.example/{k}", f'<body><div class="main{k}">{body}</div><div class="zone">{"<p>chatter of others</p>" * 2}</div></body>', "x") for k in range(9)]
