@@ -1,23 +1,29 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-A text is coded as its tokens: each word's bytes and a closing space, and at last one end symbol. A byte is coded as eight
-binary decisions; a decision's context is the preceding bytes of its token, back to its start and at most `DEPTH` of them. For each
-context and decision, Krichevsky-Trofimov estimates are mixed across all depths with the weights that context-tree weighting
-gives them: at a node, half the KT probability of all its training decisions against half the product of its children's
-weighted probabilities. Below the deepest context seen in training, the mixture of those seen holds.
-
-A token's code length depends on the token alone, so each distinct token is coded once. Documents become blobs of
-(token, document, count) by token shard; tokens become counted grams (DEPTH context bytes and a byte); grams are dealt by
-their two nearest context bytes to tasks that build and weigh whole subtrees; the two top levels (at most 256 x 255 nodes)
-are joined from their sums. Nothing that grows with the corpus is broadcast or collected.
-
-Defined cases: a null or empty text is the end token alone. A null doc_id is in the training part. With no training text every
-decision has probability 1/2. Repeated rows each count and are scored each. An empty table gives an empty result. Other columns are ignored.
+A text is coded as one stream of bytes: its words in order, each with a closing space, and at last an end symbol. A byte is coded as
+the binary decisions on its way down a Huffman tree (of all training bytes, so that common bytes take few decisions); a decision's
+context is the `DEPTH` preceding bytes of the stream, across words, with newlines before the text's start. For each context and
+decision, Krichevsky-Trofimov estimates are mixed across all depths from 0 to DEPTH with the weights that context-tree weighting
+gives them: at a node, half the KT probability of all its training decisions against half the product of its children's weighted
+probabilities. Below the deepest context seen in training, the mixture of those seen holds. The score is the sum over the stream of
+the log10 probabilities; bits_per_byte is the code length of a byte of it.
+
+Texts are worked on in batches of `BATCH_BYTES`. A batch asks for the scores of its distinct grams (DEPTH context bytes and a byte) and for
+the counts of its distinct words, with its own training counts of them: one sorted, difference-coded blob for each shard. A shard has
+all grams whose `TOP` nearest context bytes hash to it, hence whole subtrees of that depth; it adds up the batches' counts, builds and
+weighs its subtrees in parts, and answers each batch in the order in which it asked, with 4-byte numbers. The levels above TOP are made from
+the subtrees' sums; they have at most 256 ** (TOP - 1) x 255 nodes, however large the corpus is, and are the only thing that is collected. Nothing that grows with the corpus is.
+
+Defined cases: a null or empty text is the end symbol alone. A null doc_id is in the training part. With no training text every
+decision has probability 1/2. Repeated rows each count and are scored each. An empty table gives an empty result. A very long text is a
+batch of its own. Nothing is ranked, so there are no ties but equal bytes in the Huffman tree, which go by their value. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import pickle
+import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,63 +34,314 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, partition_keys, text_or_empty
 
-DEPTH, TOP = 6, 2
-END = b""
-BATCH_BYTES, SHARD_BYTES, GRAMS_PER_TASK = 1 << 22, 40_000_000, 250_000
+DEPTH, TOP = 7, 3
+START, END = b"\n" * DEPTH, b""
+BATCH_BYTES, GRAM_SHARD_BYTES, WORD_SHARD_BYTES, PART = 1 << 22, 40_000_000, 100_000_000, 200_000
 LOG10 = np.log(10.0)
+REQUEST = "batch long, shard int, asked binary, tokens long"
+ANSWER = "batch long, shard int, answer binary, distinct long"
 
 
-def _squeeze(x: object) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, 5))
+def _squeeze(*parts: bytes) -> bytes:
+    head = np.array([len(parts), *map(len, parts)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
 
 
-def _expand(x: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
+def _expand(blob: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    at, out = 8 * (n + 1), []
+    for size in np.frombuffer(raw, "<i8", n, 8).tolist():
+        out.append(raw[at : at + size])
+        at += size
+    return out
+
+
+def _numbers(x: np.ndarray) -> list[bytes]:
+    """Whole numbers that aren't negative, in as few bytes as the largest takes."""
+    kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
+    return [kind.str.encode(), x.astype(kind).tobytes()]
+
+
+def _array(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(parts[1], np.dtype(parts[0].decode())).astype(np.int64)
+
+
+def _planes(sorted_: np.ndarray) -> bytes:
+    """Differences by bytes of equal weight, of which most are zero."""
+    return np.ascontiguousarray(np.diff(sorted_, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unplane(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+# --- streams and grams --------------------------------------------------------------------------------------------------
+def stream(text: bytes) -> tuple[list[bytes], bytes]:
+    """The tokens and the coded bytes of a text."""
+    words = text.lower().split()  # of bytes: A-Z and ASCII white space only
+    return [*words, END], b" ".join([*words, b"\n"])
+
+
+def grams(streams: list[bytes]) -> np.ndarray:
+    """For each byte of the streams: the bytes before it, nearest first from the top, and itself as the lowest."""
+    buf = b"".join([x for s in streams for x in (START, s)])
+    if not streams:
+        return np.zeros(0, np.uint64)
+    word = np.ndarray((len(buf) - DEPTH,), "<u8", buf, strides=(1,))
+    size = np.fromiter(map(len, streams), np.int64, len(streams))
+    # The windows that begin in the last DEPTH bytes of a stream reach into the next one.
+    keep = np.arange(int(size.sum())) + np.repeat(np.arange(len(streams)) * DEPTH, size)
+    word = word[keep]
+    return (word << np.uint64(8)) | (word >> np.uint64(56))
+
+
+def runs(sorted_: np.ndarray) -> np.ndarray:
+    """Where equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(sorted_) else np.zeros(0, np.int64)
+
+
+def gram_shards(gram: np.ndarray, shards: int) -> np.ndarray:
+    near = gram >> np.uint64(64 - 8 * TOP)
+    with np.errstate(over="ignore"):
+        return ((near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+
+
+def word_shard(word: bytes, shards: int) -> int:
+    return xxhash.xxh64_intdigest(word) % shards
+
+
+class _Batch:
+    """Texts with their streams, and what they ask for: grams in order, and words in order, by shard."""
+
+    def __init__(self, texts: list[bytes]):
+        both = [stream(t) for t in texts]
+        self.tokens, self.streams = [t for t, _ in both], [s for _, s in both]
+
+    def ask(self, train: np.ndarray, keys: np.ndarray, word_keys: np.ndarray) -> Iterator[tuple[int, bytes, int]]:
+        """(shard key, blob, training tokens)."""
+        parts = [np.sort(grams([s for s, t in zip(self.streams, train, strict=True) if t == x])) for x in (True, False)]
+        first = runs(parts[0])
+        known, n = parts[0][first], np.diff(np.append(first, len(parts[0])))
+        every = np.union1d(known, parts[1][runs(parts[1])])
+        count = np.zeros(len(every), np.int64)
+        count[np.searchsorted(every, known)] = n
+        shard = gram_shards(every, len(keys))
+        order = np.argsort(shard, kind="stable")
+        cuts = runs(shard[order])
+        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            own = order[a:b]
+            yield int(keys[shard[own[0]]]), _squeeze(_planes(every[own]), *_numbers(count[own])), 0
+        words: Counter[bytes] = Counter()
+        for tokens, t in zip(self.tokens, train, strict=True):
+            if t:
+                words.update(tokens)
+            else:
+                for w in tokens:
+                    words[w] += 0
+        for s, own in self._words(words, len(word_keys)):
+            counts = np.array([words[w] for w in own], np.int64)
+            yield len_words(keys) + int(word_keys[s]), _squeeze(b"\n".join(own), *_numbers(counts)), int(counts.sum())
+
+    @staticmethod
+    def _words(words, shards: int) -> Iterator[tuple[int, list[bytes]]]:
+        by_shard: dict[int, list[bytes]] = {}
+        for w in sorted(words):
+            by_shard.setdefault(word_shard(w, shards), []).append(w)
+        yield from sorted(by_shard.items())
+
+    def scores(self, answers: dict[int, bytes], shards: int, word_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: score, known tokens, and the sum of log10(c + 1). answers: by shard, word shards after the others."""
+        gram = grams(self.streams)
+        order = np.argsort(gram)
+        first = runs(gram[order])
+        every = gram[order[first]]
+        shard = gram_shards(every, shards)
+        by_shard = np.argsort(shard, kind="stable")
+        value = np.empty(len(every))
+        cuts = runs(shard[by_shard])
+        for a, b in zip(cuts, [*cuts[1:], len(by_shard)], strict=True):
+            value[by_shard[a:b]] = np.frombuffer(answers[int(shard[by_shard[a]])], "<f4")
+        by_place = np.empty(len(gram))
+        by_place[order] = np.repeat(value, np.diff(np.append(first, len(gram))))
+        size = np.fromiter(map(len, self.streams), np.int64, len(self.streams))
+        score = np.add.reduceat(by_place, np.cumsum(size) - size)
+        count: dict[bytes, int] = {}
+        for s, own in self._words({w for t in self.tokens for w in t}, word_shards):
+            count.update(zip(own, _array(_expand(answers[shards + s])).tolist(), strict=True))
+        flat = np.fromiter((count[w] for t in self.tokens for w in t), np.int64)
+        n = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
+        begin = np.cumsum(n) - n
+        return score, np.add.reduceat((flat > 0).astype(np.int64), begin), np.add.reduceat(np.log10(flat + 1.0), begin)
+
+
+def len_words(keys: np.ndarray) -> int:
+    """Word shards have keys above those of the gram shards."""
+    return int(keys.max()) + 1
+
+
+# --- the tree -----------------------------------------------------------------------------------------------------------
+class Code:
+    """A Huffman tree of the 256 bytes: for each byte its decisions (node, bit) from the root."""
+
+    def __init__(self, counts: np.ndarray):
+        heap = [(int(n) + 1, k, k) for k, n in enumerate(counts)]  # weight, order, node: bytes, then inner nodes from 256 on
+        heapq.heapify(heap)
+        up: dict[int, tuple[int, int]] = {}
+        for node in range(256, 511):
+            (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+            up[x], up[y] = (node, 0), (node, 1)
+            heapq.heappush(heap, (a + b, node, node))
+        self.path: list[list[tuple[int, int]]] = []
+        for k in range(256):
+            own, at = [], k
+            while at in up:
+                at, bit = up[at]
+                own.append((510 - at, bit))  # the root is 0
+            self.path.append(own[::-1])
+        self.length = np.array([len(p) for p in self.path], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.node = np.array([n for p in self.path for n, _ in p], np.uint64)
+        self.bit = np.array([b for p in self.path for _, b in p], np.int64)
+
+    def decisions(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each gram's nodes (decision as the highest byte, then the context, nearest first), their bits, and where each gram's begin."""
+        symbol = (gram & np.uint64(255)).astype(np.int64)
+        n = self.length[symbol]
+        begin = np.cumsum(n) - n
+        flat = np.arange(int(n.sum())) + np.repeat(self.first[symbol] - begin, n)
+        return (self.node[flat] << np.uint64(56)) | np.repeat(gram >> np.uint64(8), n), self.bit[flat], begin
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+_HALF = 0.5723649429247001  # log gamma of 1/2
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series, for x of 16 and more."""
+    inv = 1 / x
+    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + inv / 12 - inv**3 / 360 + inv**5 / 1260
+
+
+def _table(first: float, n: int) -> np.ndarray:
+    """log gamma at first, first + 1, ..."""
+    return np.concatenate(([_HALF if first == 0.5 else 0.0], np.cumsum(np.log(first + np.arange(n - 1))) + (_HALF if first == 0.5 else 0.0)))
+
+
+_SMALL = 4096
+_AT_HALF, _AT_ONE = _table(0.5, _SMALL), _table(1.0, _SMALL)
+
+
+def _gamma_of(n: np.ndarray, plus: float, table: np.ndarray) -> np.ndarray:
+    out = table[np.minimum(n, _SMALL - 1)]
+    large = np.flatnonzero(n >= _SMALL)
+    out[large] = _log_gamma(n[large] + plus)
+    return out
+
+
+def kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
+    return _gamma_of(n0, 0.5, _AT_HALF) + _gamma_of(n1, 0.5, _AT_HALF) - _gamma_of(n0 + n1, 1.0, _AT_ONE) - 2 * _HALF
+
+
+def _mask(depth: int) -> np.uint64:
+    """Keeps a node's decision and its `depth` nearest context bytes."""
+    return np.uint64(((1 << 8 * (depth + 1)) - 1) << 8 * (DEPTH - depth))
+
+
+class Level:
+    """Nodes of one depth, sorted: counts, log KT, log product of the children's weighted probabilities."""
+
+    __slots__ = ("keys", "n0", "n1", "own", "product", "up")
+
+    def __init__(self, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, product: np.ndarray | None = None):
+        self.keys, self.n0, self.n1, self.own = keys, n0, n1, kt(n0, n1)
+        self.product = self.own if product is None else product
+        self.up = np.zeros(0, np.int64)  # places in the level above
+
+    def weighted(self) -> np.ndarray:
+        return self.own if self.product is self.own else np.logaddexp(self.own, self.product) - np.log(2.0)
+
+    def above(self, depth: int) -> Level:
+        """The level of this depth, one less than the own; sets up."""
+        keys = self.keys & _mask(depth)
+        first = runs(keys)
+        self.up = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+        if not len(keys):
+            return Level(keys, self.n0, self.n1, np.zeros(0))
+        return Level(keys[first], np.add.reduceat(self.n0, first), np.add.reduceat(self.n1, first), np.add.reduceat(self.weighted(), first))
+
+
+class Subtrees:
+    """Levels TOP..DEPTH of the grams (n: their training counts, 0 allowed), and for each decision of a gram its place on the last level."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, code: Code):
+        node, self.bit, self.begin = code.decisions(gram)
+        weight = np.repeat(n, code.length[(gram & np.uint64(255)).astype(np.int64)])
+        order = np.argsort(node)
+        node, weight, bit = node[order], weight[order], self.bit[order]
+        first = runs(node)
+        self.place = np.empty(len(node), np.int64)
+        self.place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(node))))
+        total = np.add.reduceat(weight, first) if len(first) else weight
+        ones = np.add.reduceat(weight * bit, first) if len(first) else weight
+        self.levels = [Level(node[first], total - ones, ones)]
+        for depth in range(DEPTH - 1, TOP - 1, -1):
+            self.levels.insert(0, self.levels[0].above(depth))
+
+    def sums(self) -> Level:
+        """Of these subtrees alone: the level above TOP."""
+        return self.levels[0].above(TOP - 1)
+
+    def scores(self, top: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """log10 probability of each gram's byte. top: nodes of the level above TOP, and what mix() gives for them."""
+        self.levels[0].up = np.searchsorted(top[0], self.levels[0].keys & _mask(TOP - 1))
+        p = mix(self.levels, top[1:])[0][self.place]
+        return np.add.reduceat(np.log(np.where(self.bit == 1, p, 1 - p)), self.begin) / LOG10 if len(p) else p
+
+
+def mix(levels: list[Level], above: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the nodes of the last level: the probability of bit 1 with contexts up to there, what is mixed so far, and the weight left.
+    above: the same for the level before the first."""
+    for level in levels:
+        n = level.n0 + level.n1
+        estimate = (level.n1 + 0.5) / (n + 1)
+        weight = 1 / (1 + np.exp(np.clip(level.product - level.own, -700, 700)))
+        if above is None:
+            upper, so_far, left = np.full(len(n), 0.5), np.zeros(len(n)), np.ones(len(n))
+        else:
+            upper, so_far, left = (x[level.up] for x in above)
+        seen = n > 0  # below the deepest context seen, its mixture holds
+        above = np.where(seen, so_far + left * estimate, upper), np.where(seen, so_far + left * weight * estimate, upper), np.where(seen, left * (1 - weight), 0.0)
+    return above
 
 
-def _batch(texts: list[bytes], train: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, bytes, bytes]]]:
-    """Token numbers of each text, and for each shard its words with training counts, and its (word, text, count)."""
-    number: dict[bytes, int] = {}
-    ids, sizes = [], []
-    for t in texts:
-        tokens = t.lower().split()
-        tokens.append(END)
-        ids.append(np.array([number.setdefault(w, len(number)) for w in tokens], np.int64))
-        sizes.append(len(tokens))
-    n_words, n_texts = len(number), len(texts)
-    flat, count = np.unique(np.concatenate(ids) * n_texts + np.repeat(np.arange(n_texts), sizes), return_counts=True)
-    word, doc = flat // n_texts, flat % n_texts
-    trained = np.bincount(word, weights=count * train[doc], minlength=n_words).astype(np.int64)
-    words = list(number)
-    shard = np.array([xxhash.xxh64_intdigest(w) % shards for w in words], np.int64)
-    per_word = np.bincount(word, minlength=n_words)
-    first = np.cumsum(per_word) - per_word
-    order = np.argsort(shard, kind="stable")
-    out = []
-    for s in np.unique(shard).tolist():
-        own = order[np.searchsorted(shard[order], s) : np.searchsorted(shard[order], s, side="right")]
-        rows = np.concatenate([np.arange(first[w], first[w] + per_word[w]) for w in own.tolist()])
-        out.append((s, _squeeze(([words[w] for w in own.tolist()], trained[own])), _squeeze((_small(per_word[own]), _small(doc[rows]), _small(count[rows])))))
-    return np.array(sizes, np.int64), out
+def top_nodes(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The level above TOP from its sums, mixed with all levels above it."""
+    order = np.argsort(keys)
+    levels = [Level(keys[order], n0[order], n1[order], product[order])]
+    for depth in range(TOP - 2, -1, -1):
+        levels.insert(0, levels[0].above(depth))
+    return (levels[-1].keys, *mix(levels, None))
 
 
-def _requests(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+# --- the jobs -----------------------------------------------------------------------------------------------------------
+def _requests(batches: Iterator[pa.RecordBatch], keys: np.ndarray, word_keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     part, turn = TaskContext.get().partitionId(), 0
     held: list[tuple[int | None, bool, bytes]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        sizes, parts = _batch([t for _, _, t in held], np.array([not h for _, h, _ in held], np.int64), shards)
-        meta = _squeeze(([d for d, _, _ in held], [h for _, h, _ in held], sizes))
-        rows = [(-1, meta, b""), *parts]
+        train = [not h for _, h, _ in held]
+        batch = _Batch([t for _, _, t in held])
+        histogram = np.bincount(np.frombuffer(b"".join([s for s, t in zip(batch.streams, train, strict=True) if t]), np.uint8), minlength=256)
+        ids = np.array([-1 if d is None else d for d, _, _ in held], "<i8")
+        missing = np.array([d is None for d, _, _ in held])
+        whole = _squeeze(ids.tobytes(), missing.tobytes(), np.array(train).tobytes(), *_numbers(np.array([len(t) for _, _, t in held], np.int64)), b"".join([t for _, _, t in held]))
+        rows = [(-1, whole, 0), (-2, histogram.astype("<i8").tobytes(), 0), *batch.ask(np.array(train), keys, word_keys)]
         key = (part << 24) + turn
-        return pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["batch", "shard", "words", "pairs"])
+        return pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], ["batch", "shard", "asked", "tokens"])
 
     for b in batches:
         for d, h, t in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), b.column("text"), strict=True):
@@ -98,212 +355,101 @@ def _requests(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Rec
         yield flush()
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shards: dict[int, dict[bytes, int]] = {}
-    for b in batches:
-        for s, blob in zip(b.column("shard").to_pylist(), b.column("words"), strict=True):
-            total = shards.setdefault(s, {})
-            words, counts = _expand(blob.as_py())
-            for w, c in zip(words, counts.tolist(), strict=True):
-                total[w] = total.get(w, 0) + c
-    for s, total in shards.items():
-        words = sorted(total)
-        counts = np.array([total[w] for w in words], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_squeeze((words, counts))], pa.binary()), pa.array([int(counts.sum())], pa.int64()), pa.array([int((counts > 0).sum())], pa.int64())], ["shard", "words", "tokens", "distinct"])
-
-
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The packed grams of all words, and the word each belongs to. A gram: the byte to code (low 8 bits), then the
-    preceding bytes, nearest first, to the space before the word (then zeros)."""
-    text = b" " + b" ".join(words) + b" "
-    data = np.frombuffer(text, np.uint8).astype(np.uint64)
-    length = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    owner = np.repeat(np.arange(len(words)), length)
-    place = np.arange(1, len(data))
-    since = place - np.repeat(np.cumsum(length) - length, length)  # symbols since, and with, the space before the word
-    key = data[1:].copy()
-    key[(length[owner] == 1) & (key == 32)] = 10  # the end token is one symbol of its own
-    for d in range(1, DEPTH + 1):
-        own = since >= d
-        key[own] |= data[place[own] - d] << np.uint64(8 * d)
-    return key, owner
-
-
-def _shard_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(256, np.int64)
     for b in batches:
-        for s, blob in zip(b.column("shard").to_pylist(), b.column("words"), strict=True):
-            words, counts = _expand(blob.as_py())
-            key, owner = grams(words)
-            unique, at = np.unique(key, return_inverse=True)
-            n = np.bincount(at, weights=counts[owner], minlength=len(unique)).astype(np.int64)
-            for k in range(0, len(unique), 100_000):
-                part = slice(k, k + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array([s] * len(unique[part]), pa.int32()), pa.array(unique[part].view(np.int64)), pa.array(n[part])], ["shard", "gram", "n"])
-
-
-_HALF = 0.5723649429247001  # log gamma of 1/2
+        for blob in b.column("asked"):
+            total += np.frombuffer(blob.as_py(), "<i8")
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total)], ["byte", "n"])
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series, after eight steps up for small x."""
-    shift = np.where(x < 8, np.log(np.maximum(x, 1e-300)), 0.0)
-    y = np.where(x < 8, x + 1, x)
-    for _ in range(8):
-        low = y < 8
-        shift = np.where(low, shift + np.log(np.where(low, y, 1.0)), shift)
-        y = np.where(low, y + 1, y)
-    inv = 1 / y
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + inv / 12 - inv**3 / 360 + inv**5 / 1260 - shift
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[int, bytes]]]:
+    """(batch, blob) of each shard, in order of batches. Blobs stay compressed."""
+    held: dict[int, list[tuple[int, bytes]]] = {}
+    for b in batches:
+        for shard, batch, blob in zip(b.column("shard").to_pylist(), b.column("batch").to_pylist(), b.column("asked"), strict=True):
+            held.setdefault(shard, []).append((batch, blob.as_py()))
+    for own in held.values():
+        own.sort()
+    return held
+
+
+def _merged(blobs: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """All grams of a shard, sorted, with the sums of their counts."""
+
+    def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        gram, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(gram)
+        gram, n = gram[order], n[order]
+        first = runs(gram)
+        return gram[first], np.add.reduceat(n, first) if len(first) else n
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for _, blob in blobs:
+        planes, *count = _expand(blob)
+        held.append((_unplane(planes), _array(count)))
+        if len(held) > 1 and sum(len(g) for g, _ in held) > max(1_000_000, 2 * len(held[0][0])):
+            held = [joined(held)]
+    return joined(held)
+
+
+def _parts(gram: np.ndarray) -> Iterator[slice]:
+    """Whole subtrees, of at least PART grams together."""
+    near = gram >> np.uint64(64 - 8 * TOP)
+    first = runs(near)
+    at = 0
+    while at < len(gram):
+        later = first[np.searchsorted(first, at + PART) :]
+        end = int(later[0]) if len(later) else len(gram)
+        yield slice(at, end)
+        at = end
+
+
+def _top_sums(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.RecordBatch]:
+    for blobs in _by_shard(batches).values():
+        gram, n = _merged(blobs)
+        for part in _parts(gram):
+            level = Subtrees(gram[part], n[part], code).sums()
+            yield pa.RecordBatch.from_arrays([pa.array(level.keys.view(np.int64)), pa.array(level.n0), pa.array(level.n1), pa.array(level.product)], ["node", "n0", "n1", "product"])
+
+
+def _answer_grams(batches: Iterator[pa.RecordBatch], code: Code, top: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    for shard, blobs in _by_shard(batches).items():
+        gram, n = _merged(blobs)
+        score = np.concatenate([Subtrees(gram[part], n[part], code).scores(top) for part in _parts(gram)]).astype("<f4")
+        for batch, blob in blobs:
+            own = score[np.searchsorted(gram, _unplane(_expand(blob)[0]))]
+            yield _answer(batch, shard, own.tobytes(), 0)
+
+
+def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for shard, blobs in _by_shard(batches).items():
+        total: dict[bytes, int] = {}
+        for _, blob in blobs:
+            words, *count = _expand(blob)
+            for w, c in zip(words.split(b"\n"), _array(count).tolist(), strict=True):
+                total[w] = total.get(w, 0) + c
+        for batch, blob in blobs:
+            own = np.array([total[w] for w in _expand(blob)[0].split(b"\n")], np.int64)
+            yield _answer(batch, shard, _squeeze(*_numbers(own)), 0)
+        yield _answer(-1 - shard, shard, b"", sum(c > 0 for c in total.values()))
 
 
-def kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1.0) - 2 * _HALF
+def _answer(batch: int, shard: int, blob: bytes, distinct: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([shard], pa.int32()), pa.array([blob], pa.binary()), pa.array([distinct], pa.int64())], ["batch", "shard", "answer", "distinct"])
 
 
-def _mask(depth: int) -> np.uint64:
-    """Keeps a node's decision (low 8 bits) and its `depth` nearest context bytes."""
-    return np.uint64((1 << 8 * (depth + 1)) - 1)
-
-
-def decisions(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each gram its eight nodes (decision in place of the byte) and bits, as rows of two arrays."""
-    symbol = gram & np.uint64(255)
-    context = gram & ~np.uint64(255)
-    node = np.stack([context | np.uint64(1 << b) | (symbol >> np.uint64(8 - b)) for b in range(8)], 1)
-    bit = np.stack([(symbol >> np.uint64(7 - b)) & np.uint64(1) for b in range(8)], 1).astype(np.int64)
-    return node, bit
-
-
-def subtrees(gram: np.ndarray, n: np.ndarray, low: int = TOP) -> list[tuple[np.ndarray, ...]]:
-    """Levels low..DEPTH, each (nodes, n0, n1, log kt, log product of children), nodes sorted."""
-    used = n > 0
-    node, bit = decisions(gram[used])
-    weight = np.repeat(n[used], 8)
-    keys, at = np.unique(node.ravel(), return_inverse=True)
-    n1 = np.bincount(at, weights=weight * bit.ravel(), minlength=len(keys))
-    n0 = np.bincount(at, weights=weight, minlength=len(keys)) - n1
-    own = kt(n0, n1)
-    levels = [(keys, n0, n1, own, own)]
-    weighted = own
-    for depth in range(DEPTH - 1, low - 1, -1):
-        parent, at = np.unique(levels[0][0] & _mask(depth), return_inverse=True)
-        n0, n1, product = (np.bincount(at, weights=v, minlength=len(parent)) for v in (levels[0][1], levels[0][2], weighted))
-        own = kt(n0, n1)
-        weighted = np.logaddexp(own, product) - np.log(2.0)
-        levels.insert(0, (parent, n0, n1, own, product))
-    return levels
-
-
-def _weighted(level: tuple[np.ndarray, ...]) -> np.ndarray:
-    return np.logaddexp(level[3], level[4]) - np.log(2.0)
-
-
-def mix(levels: list[tuple[np.ndarray, ...]], first: int, above: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Probability of bit 1 with contexts up to each level, by node; and (nodes, mixed so far, weight left) of the last level.
-    above: the same of the level before the first."""
-    out = []
-    for k, (keys, n0, n1, own, product) in enumerate(levels):
-        if above is None:
-            so_far, left = np.zeros(len(keys)), np.ones(len(keys))
-        else:
-            nodes, so, rest = above
-            at = np.searchsorted(nodes, keys & _mask(first + k - 1))
-            so_far, left = so[at], rest[at]
-        estimate = (n1 + 0.5) / (n0 + n1 + 1)
-        weight = 1 / (1 + np.exp(np.clip(product - own, -700, 700)))
-        out.append(so_far + left * estimate)
-        above = keys, so_far + left * weight * estimate, left * (1 - weight)
-    return out, above
-
-
-def gram_scores(gram: np.ndarray, levels: list[tuple[np.ndarray, ...]], probs: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each gram's byte. levels and probs: of depths 0..DEPTH."""
-    node, bit = decisions(gram)
-    p = np.full(node.shape, 0.5)
-    for depth, (level, prob) in enumerate(zip(levels, probs, strict=True)):
-        keys = level[0]
-        if len(keys):
-            want = node & _mask(depth)
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            p = np.where(keys[at] == want, prob[at], p)
-    return np.log(np.where(bit == 1, p, 1 - p)).sum(1) / LOG10
-
-
-def _read(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
-    parts = [b for b in batches if b.num_rows]
-    return [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in parts]) if parts else np.zeros(0, np.int64) for c in names]
-
-
-def _top_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From complete subtrees: for each node with one context byte, sums over its children."""
-    gram, n = _read(batches, ["gram", "n"])
-    if not (n > 0).any():
-        return
-    level = subtrees(gram.view(np.uint64), n)[0]
-    parent, at = np.unique(level[0] & _mask(TOP - 1), return_inverse=True)
-    sums = [np.bincount(at, weights=v, minlength=len(parent)) for v in (level[1], level[2], _weighted(level))]
-    yield pa.RecordBatch.from_arrays([pa.array(parent.view(np.int64)), *map(pa.array, sums)], ["node", "n0", "n1", "product"])
-
-
-def _gram_scores(batches: Iterator[pa.RecordBatch], top: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    gram, n = _read(batches, ["gram", "n"])
-    if not len(gram):
-        return
-    probs, above = mix(top, 0, None)
-    levels: list[tuple[np.ndarray, ...]] = []
-    if (n > 0).any():
-        levels = subtrees(gram.view(np.uint64), n)
-        probs = probs + mix(levels, TOP, above)[0]
-    score = np.concatenate([gram_scores(gram[k : k + 50_000].view(np.uint64), top + levels, probs) for k in range(0, len(gram), 50_000)])
-    yield from pa.Table.from_arrays([pa.array(gram), pa.array(score)], ["gram", "score"]).to_batches(max_chunksize=100_000)
-
-
-def top_levels(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, product: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """Levels 0 and 1 from the sums of their children."""
-    order = np.argsort(node)
-    node, n0, n1, product = node[order], n0[order], n1[order], product[order]
-    one = (node, n0, n1, kt(n0, n1), product)
-    root, at = np.unique(node & _mask(0), return_inverse=True)
-    s0, s1, s = (np.bincount(at, weights=v, minlength=len(root)) for v in (n0, n1, _weighted(one)))
-    return [(root, s0, s1, kt(s0, s1), s), one]
-
-
-def _word_scores(key: tuple, vocabulary: pa.Table, scored: pa.Table) -> pa.Table:
-    gram = scored.column("gram").to_numpy()
-    order = np.argsort(gram.view(np.uint64))
-    gram, score = gram[order].view(np.uint64), scored.column("score").to_numpy()[order]
-    words, counts = _expand(vocabulary.column("words")[0].as_py())
-    own, owner = grams(words)
-    total = np.bincount(owner, weights=score[np.searchsorted(gram, own)], minlength=len(words))
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([_squeeze((words, counts, total))], pa.binary())})
-
-
-def _partial(key: tuple, requests: pa.Table, scored: pa.Table) -> pa.Table:
-    words, counts, score = _expand(scored.column("words")[0].as_py())
-    place = {w: i for i, w in enumerate(words)}
-    log_count = np.log10(counts + 1.0)
-    out: list[list] = [[], [], [], [], []]
-    for batch, own, pairs in zip(requests.column("batch").to_pylist(), requests.column("words"), requests.column("pairs"), strict=True):
-        at = np.array([place[w] for w in _expand(own.as_py())[0]], np.int64)
-        per_word, doc, n = _expand(pairs.as_py())
-        word = np.repeat(at, per_word)
-        docs, to = np.unique(doc, return_inverse=True)
-        sums = [np.bincount(to, weights=v, minlength=len(docs)) for v in (n * (counts[word] > 0), n * log_count[word], n * score[word])]
-        for col, v in zip(out, (batch, docs.astype(np.int64), *sums), strict=True):
-            col.append(v)
-    return pa.table({"batch": pa.array(out[0], pa.int64()), "doc": pa.array(out[1], pa.list_(pa.int64())), "known": pa.array(out[2], pa.list_(pa.float64())), "base": pa.array(out[3], pa.list_(pa.float64())), "score": pa.array(out[4], pa.list_(pa.float64()))})
-
-
-def _finish(key: tuple, meta: pa.Table, partial: pa.Table) -> pa.Table:
-    ids, held, sizes = _expand(meta.column("words")[0].as_py())
-    total = np.zeros((3, len(ids)))
-    order = np.argsort(partial.column("shard").to_numpy(), kind="stable")  # a fixed order of summing
-    for k in order.tolist():
-        at = partial.column("doc")[k].values.to_numpy()
-        for j, c in enumerate(("known", "base", "score")):
-            total[j, at] += partial.column(c)[k].values.to_numpy()
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(np.rint(total[0]).astype(np.int64)), "base_score": pa.array(total[1]), "score": pa.array(total[2])})
+def _finish(asked: pa.Table, answers: pa.Table, keys: np.ndarray, word_keys: np.ndarray) -> pa.Table:
+    number = {int(k): s for s, k in enumerate(keys)} | {len_words(keys) + int(k): len(keys) + s for s, k in enumerate(word_keys)}
+    got = {number[s]: blob.as_py() for s, blob in zip(answers.column("shard").to_pylist(), answers.column("answer"), strict=True)}
+    ids, missing, train, *size, text = _expand(asked.column("asked")[0].as_py())
+    ends = np.cumsum(_array(size))
+    batch = _Batch([text[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
+    score, known, base = batch.scores(got, len(keys), len(word_keys))
+    doc_id = pa.array(np.frombuffer(ids, "<i8"), pa.int64(), mask=np.frombuffer(missing, bool))
+    n = np.array([len(t) for t in batch.tokens], np.int64)
+    coded = np.array([len(s) for s in batch.streams], np.int64)
+    return pa.table({"doc_id": doc_id, "held_out": pa.array(~np.frombuffer(train, bool)), "n_tokens": pa.array(n), "n_known": pa.array(known), "base": pa.array(base), "score": pa.array(score), "n_coded": pa.array(coded)})
 
 
 def remainder(mod: int):
@@ -311,32 +457,33 @@ def remainder(mod: int):
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     scratch = Scratch(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(6, total // SHARD_BYTES)
+    keys, word_keys = partition_keys(max(6, total // GRAM_SHARD_BYTES)), partition_keys(max(6, total // WORD_SHARD_BYTES))
     rows = docs.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), text_or_empty().alias("text"))
-    requests = scratch.write(rows.mapInArrow(lambda x: _requests(x, shards), "batch long, shard int, words binary, pairs binary"))
-    asked = requests.where("shard >= 0")
-    words = scratch.write(asked.select("shard", "words").repartition(shards, "shard").mapInArrow(_vocabulary, "shard int, words binary, tokens long, distinct long"))
-    by_shard = scratch.write(words.select("shard", "words").mapInArrow(_shard_grams, "shard int, gram long, n long"))
-    counted = by_shard.groupBy("gram").agg(F.sum("n").alias("n"))
-    near = F.shiftright(F.col("gram"), 8).bitwiseAND((1 << 8 * TOP) - 1)
-    all_grams = scratch.write(counted)
-    tasks = max(6, -(-all_grams.count() // GRAMS_PER_TASK))
-    dealt = all_grams.repartition(tasks, near)
-    sums = dealt.mapInArrow(_top_nodes, "node long, n0 double, n1 double, product double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "product")])
-    got = sums.orderBy("node").collect()  # at most 256 contexts x 255 decisions
-    column = lambda c: np.array([r[c] for r in got], np.float64)
-    top = top_levels(np.array([r.node for r in got], np.int64).view(np.uint64), column("n0"), column("n1"), column("product"))
-    scores = scratch.write(dealt.mapInArrow(lambda x: _gram_scores(x, top), "gram long, score double"))
-    asked_grams = by_shard.select("shard", "gram").join(scores, "gram")
-    coded = scratch.write(words.select("shard", "words").groupBy("shard").cogroup(asked_grams.groupBy("shard")).applyInArrow(_word_scores, "shard int, words binary"))
-    partial = asked.groupBy("shard").cogroup(coded.groupBy("shard")).applyInArrow(lambda k, a, b: _partial(k, a, b).append_column("shard", pa.array([k[0].as_py()] * len(a), pa.int32())), "batch long, doc array<long>, known array<double>, base array<double>, score array<double>, shard int")
-    done = requests.where("shard = -1").groupBy("batch").cogroup(partial.groupBy("batch")).applyInArrow(_finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    tokens, distinct = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    requests = scratch.write(rows.mapInArrow(lambda x: _requests(x, keys, word_keys), REQUEST))
+    histogram = requests.where("shard = -2").select("asked").mapInArrow(_histogram, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+    counts = np.zeros(256, np.int64)
+    for r in histogram.collect():  # 256 rows
+        counts[r.byte] = r.n
+    code = Code(counts)
+    of_words = F.col("shard") >= len_words(keys)
+    asked_grams = requests.where((F.col("shard") >= 0) & ~of_words).select("batch", "shard", "asked").repartition(len(keys), "shard")
+    asked_words = requests.where(of_words).select("batch", "shard", "asked").repartition(len(word_keys), F.col("shard") - len_words(keys))
+    sums = asked_grams.mapInArrow(lambda x: _top_sums(x, code), "node long, n0 long, n1 long, product double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "product")])
+    got = sums.toArrow()  # at most 256 ** (TOP - 1) contexts x 255 decisions
+    column = lambda c: got.column(c).to_numpy()
+    top = top_nodes(column("node").view(np.uint64), column("n0"), column("n1"), column("product"))
+    answers = asked_grams.mapInArrow(lambda x: _answer_grams(x, code, top), ANSWER).unionByName(asked_words.mapInArrow(_answer_words, ANSWER))
+    answers = scratch.write(answers)
+    tokens, distinct = requests.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0], answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    texts = requests.where("shard = -1").select("batch", "asked")
+    done = texts.groupBy("batch").cogroup(answers.where("batch >= 0").select("batch", "shard", "answer").groupBy("batch")).applyInArrow(
+        lambda a, b: _finish(a, b, keys, word_keys), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_coded long"
+    )
     return done.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") - F.col("n_tokens") * float(np.log10(tokens + distinct + 1))).alias("base_score"), "score",
-        (-F.col("score") * float(np.log2(10)) / F.greatest(F.col("n_tokens"), F.lit(1))).alias("bits_per_token"),
+        (F.col("base") - F.col("n_tokens") * float(np.log10(tokens + distinct + 1))).alias("base_score"), "score",
+        (-F.col("score") * float(np.log2(10)) / F.col("n_coded")).alias("bits_per_byte"),
     )

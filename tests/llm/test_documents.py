@@ -305,19 +305,21 @@ def test_context_tree(spark):
     c = Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
     n, v = sum(c.values()), len(c)
     depth = context_tree.DEPTH
+    streams = [" ".join([*t[:-1], "\n"]).encode() for t in tokens]
+    code = context_tree.Code(np.bincount(np.frombuffer(b"".join(x for x, h in zip(streams, held, strict=True) if not h), np.uint8), minlength=256))
+    assert sum(2.0 ** -len(p) for p in code.path) == 1 and len({tuple(p) for p in code.path}) == 256
 
-    def events(w):
-        b = w.encode() + b" " if w else b"\n"
-        full = b" " + b
-        for i, sym in enumerate(b):
-            for k in range(8):
-                yield full[max(0, i + 1 - depth) : i + 1], 1 << k | sym >> 8 - k, sym >> 7 - k & 1
+    def events(x):
+        full = b"\n" * depth + x
+        for i, sym in enumerate(x):
+            for node, bit in code.path[sym]:
+                yield full[i : i + depth], node, bit
 
     count, kids = defaultdict(lambda: [0, 0]), defaultdict(set)
-    for w, m in c.items():
-        for ctx, node, bit in events(w):
-            for d in range(len(ctx) + 1):
-                count[ctx[len(ctx) - d :], node][bit] += m
+    for x, h in zip(streams, held, strict=True):
+        for ctx, node, bit in events(x) if not h else ():
+            for d in range(depth + 1):
+                count[ctx[depth - d :], node][bit] += 1
     for ctx, node in count:
         if ctx:
             kids[ctx[1:], node].add((ctx, node))
@@ -333,8 +335,8 @@ def test_context_tree(spark):
 
     def one(ctx, node):
         p = None
-        for d in range(len(ctx), -1, -1):
-            s = (ctx[len(ctx) - d :], node)
+        for d in range(depth, -1, -1):
+            s = (ctx[depth - d :], node)
             if s in count:
                 a, b = count[s]
                 estimate = (b + 0.5) / (a + b + 1)
@@ -342,17 +344,40 @@ def test_context_tree(spark):
                 p = estimate if p is None else w * estimate + (1 - w) * p
         return 0.5 if p is None else p
 
-    def code(w):
-        return sum(math.log10(one(x, k) if b else 1 - one(x, k)) for x, k, b in events(w))
+    def code_length(x):
+        return sum(math.log10(one(ctx, k) if b else 1 - one(ctx, k)) for ctx, k, b in events(x))
 
-    want = sorted((str(r.doc_id), h, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 5), round(sum(map(code, t)), 5)) for r, t, h in zip(rows, tokens, held, strict=True))
-    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in context_tree.score(df).collect())
-    assert [g[:5] for g in got] == [w[:5] for w in want]
-    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-6)
+    want = sorted((str(r.doc_id), h, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 5), code_length(x), len(x)) for r, t, h, x in zip(rows, tokens, held, streams, strict=True))
+    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), r.score, r.bits_per_byte) for r in context_tree.score(df).collect())
+    assert [g[:6] for g in got] == [w[:6] for w in want]
+    assert np.allclose([g[6] for g in got], [w[6] for w in want], rtol=1e-5)
+    assert np.allclose([g[7] for g in got], [-w[6] * math.log2(10) / w[7] for w in want], rtol=1e-5)
+
+
+def test_word_order_matters(spark):
+    rng = random.Random(21)
+    phrase = [prose(rng, 1) for _ in range(9)]
+    rows = [(k, " ".join(phrase * 8)) for k in range(60)]
+    turned = phrase[::-1]
+    df = spark.createDataFrame([*rows, (100, " ".join(phrase * 2)), (101, " ".join(turned * 2))], "doc_id long, text string")
+    got = {r.doc_id: r for r in context_tree.score(df).collect()}
+    assert got[100].base_score == pytest.approx(got[101].base_score) and got[100].score > got[101].score + 5
+
+
+def test_batches_and_shards_change_nothing(spark, monkeypatch):
+    df = documents(spark)
+    want = {(r.doc_id, r.n_tokens, r.n_known): r.score for r in context_tree.score(df).collect()}
+    for name, value in (("BATCH_BYTES", 500), ("GRAM_SHARD_BYTES", 2_000), ("WORD_SHARD_BYTES", 5_000), ("PART", 50)):
+        monkeypatch.setattr(context_tree, name, value)
+    got = {(r.doc_id, r.n_tokens, r.n_known): r.score for r in context_tree.score(df).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
 
 
 def test_kt_is_a_probability():
-    assert sum(math.comb(9, k) * math.exp(context_tree.kt(np.array([9.0 - k]), np.array([float(k)]))[0]) for k in range(10)) == pytest.approx(1, abs=1e-8)
+    assert sum(math.comb(9, k) * math.exp(context_tree.kt(np.array([9 - k]), np.array([k]))[0]) for k in range(10)) == pytest.approx(1, abs=1e-8)
+    n0, n1 = np.array([0, 3, 5000, 10**9]), np.array([2, 4095, 4096, 10**12])
+    want = [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - 2 * math.lgamma(0.5) for a, b in zip(n0.tolist(), n1.tolist(), strict=True)]
+    assert np.allclose(context_tree.kt(n0, n1), want, rtol=1e-9, atol=1e-3)
 
 
 def _optimum(items, cap):
