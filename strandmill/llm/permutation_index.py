@@ -5,15 +5,15 @@ inverted file a pivot, with the vectors that have it in their prefix and at whic
 the sum of rank differences over its own prefix, a pivot that a vector's prefix lacks being placed at rank 2 * `prefix`; it is
 added up over the inverted files of the query's own pivots, and no others are read. The `share` of the block's vectors at the least
 distance (and `DEEP` for each neighbour asked for, at least) is reranked by the exact inner product in double precision; each block's
-best go on. Every row is indexed; only the pivots are a bounded sample.
+best go on. Every row is indexed, equal vectors of a block as one entry; only the pivots are a bounded sample.
 
 Largest inner product is turned into nearest distance for choosing pivots' order: vectors get one more component that
 makes all their norms equal, queries have 0 there.
 
 The queries are a stated set. They come to the blocks, in blocks of their own: each index block is shuffled once, each query once for
-an index block; memory is one block and one query block. `share` is 0.25 as such vectors without clusters need it: in check_s, the nearest
+an index block; memory is one block and one query block. `share` is a third as such vectors without clusters need it: in check_s, the nearest
 neighbours of a query lie in half of all pivots' cells (measured: 0.91 of them in the nearest 256 of 512), so that cells can't be left out; measured recall
-at 20 is 0.98 or more over 2,000 and 10,256 vectors of 64 components.
+at 20 is 0.97 or more over 2,000 and 10,256 vectors of 64 components, a crowd of like vectors among them or not.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, vectors of another than the commonest
 number of components, and rows without vec_id take no part. Fewer candidates than asked for are all returned. Ties go to
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-PIVOTS, PREFIX, SHARE, DEEP = 512, 96, 0.25, 12
+PIVOTS, PREFIX, SHARE, DEEP = 512, 96, 0.33, 12
 BLOCK, QUERY_BLOCK = 2_048, 512
 OUT = "query_uid long, query_id long, vec_id long, uid long, score double"
 
@@ -83,8 +83,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, norm2: float,
         if query:
             data = (ids, uids, x, order.astype(np.int32))
         else:
+            # Equal vectors are one entry of the inverted files, so that a crowd of copies takes one candidate's place.
+            _, first, entry = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+            members = np.argsort(entry, kind="stable")  # by entry, then vec_id
+            x, order, ids, uids = x[first], order[first], ids[members], uids[members]
+            begin = np.searchsorted(entry[members], np.arange(len(first) + 1))
             post = np.argsort(order.ravel(), kind="stable")
-            data = (ids, uids, x, (post // order.shape[1]).astype(np.int32), (post % order.shape[1]).astype(np.int16), np.searchsorted(order.ravel()[post], np.arange(len(pivots) + 1)))
+            data = (ids, uids, begin, x, (post // order.shape[1]).astype(np.int32), (post % order.shape[1]).astype(np.int16), np.searchsorted(order.ravel()[post], np.arange(len(pivots) + 1)))
         yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([pickle.dumps(data, 5)], pa.binary())], ["block", "blob"])
 
 
@@ -119,14 +124,18 @@ def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndar
 def _search(batches: Iterator[pa.RecordBatch], k: int, share: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for block, queries in zip(b.column("blob"), b.column("queries"), strict=True):
-            ids, uids, x, rows, ranks, at = pickle.loads(block.as_py())
+            ids, uids, begin, x, rows, ranks, at = pickle.loads(block.as_py())
             q_ids, q_uids, q_x, orders = pickle.loads(queries.as_py())
             out: list[list] = [[], [], [], [], []]
-            most = max(DEEP * k, int(np.ceil(share * len(ids))))
+            most = max(DEEP * k, int(np.ceil(share * len(x))))
+            size = np.minimum(np.diff(begin), k + 1)  # of equal vectors no more than k besides the query itself can be among the k nearest
             for q_id, q_uid, q, order in zip(q_ids.tolist(), q_uids.tolist(), q_x, orders, strict=True):
-                found = candidates(order, rows, ranks, at, len(ids), most)
+                entries = candidates(order, rows, ranks, at, len(x), most)
+                n = size[entries]
+                found = np.repeat(begin[entries] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                entries = np.repeat(entries, n)[uids[found] != q_uid]
                 found = found[uids[found] != q_uid]
-                place, score = best(q, x[found], ids[found], k)
+                place, score = best(q, x[entries], ids[found], k)
                 place = found[place]
                 for col, new in zip(out, ([q_uid] * len(place), [q_id] * len(place), ids[place].tolist(), uids[place].tolist(), score.tolist()), strict=True):
                     col.extend(new)
