@@ -22,13 +22,15 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import gc
 import heapq
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,9 +38,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, partition_keys, text_or_empty
 
-DEPTH, TOP = 7, 3
-START, END = b"\n" * DEPTH, b""
-BATCH_BYTES, GRAM_SHARD_BYTES, WORD_SHARD_BYTES, PART = 1 << 22, 40_000_000, 100_000_000, 200_000
+DEPTH, TOP = 6, 3
+#: Context bytes in a key of 8 bytes; those beyond DEPTH are 0.
+WIDTH = 7
+START, END = b"\n" * WIDTH, b""
+BATCH_BYTES, GRAM_SHARD_BYTES, WORD_SHARD_BYTES, PART, SLOT_BITS = 1 << 23, 40_000_000, 100_000_000, 200_000, 24
 LOG10 = np.log(10.0)
 REQUEST = "batch long, shard int, asked binary, tokens long"
 ANSWER = "batch long, shard int, answer binary, distinct long"
@@ -87,15 +91,19 @@ def stream(text: bytes) -> tuple[list[bytes], bytes]:
 
 def grams(streams: list[bytes]) -> np.ndarray:
     """For each byte of the streams: the bytes before it, nearest first from the top, and itself as the lowest."""
-    buf = b"".join([x for s in streams for x in (START, s)])
     if not streams:
         return np.zeros(0, np.uint64)
-    word = np.ndarray((len(buf) - DEPTH,), "<u8", buf, strides=(1,))
+    buf = b"".join([x for s in streams for x in (START, s)])
+    word = np.ndarray((len(buf) - WIDTH,), "<u8", buf, strides=(1,))
     size = np.fromiter(map(len, streams), np.int64, len(streams))
-    # The windows that begin in the last DEPTH bytes of a stream reach into the next one.
-    keep = np.arange(int(size.sum())) + np.repeat(np.arange(len(streams)) * DEPTH, size)
-    word = word[keep]
-    return (word << np.uint64(8)) | (word >> np.uint64(56))
+    begin = np.cumsum(size + WIDTH) - size - WIDTH
+    # The windows that begin in the last bytes of a stream reach into the next one.
+    word = np.concatenate([word[a : a + n] for a, n in zip(begin.tolist(), size.tolist(), strict=True)])
+    symbol = word >> np.uint64(56)
+    word <<= np.uint64(8)
+    word &= _mask(DEPTH - 1)
+    word |= symbol
+    return word
 
 
 def runs(sorted_: np.ndarray) -> np.ndarray:
@@ -109,8 +117,16 @@ def gram_shards(gram: np.ndarray, shards: int) -> np.ndarray:
         return ((near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
-def word_shard(word: bytes, shards: int) -> int:
-    return xxhash.xxh64_intdigest(word) % shards
+def places(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted value stands among the sorted ones, all of which are there: by a hash table, and by bisection where two share a slot."""
+    slot = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    with np.errstate(over="ignore"):
+        table = np.zeros(1 << SLOT_BITS, np.int32)
+        table[slot(sorted_)] = np.arange(len(sorted_), dtype=np.int32)
+        at = table[slot(wanted)]
+    other = np.flatnonzero(sorted_[at] != wanted)
+    at[other] = np.searchsorted(sorted_, wanted[other])
+    return at
 
 
 class _Batch:
@@ -125,7 +141,8 @@ class _Batch:
         parts = [np.sort(grams([s for s, t in zip(self.streams, train, strict=True) if t == x])) for x in (True, False)]
         first = runs(parts[0])
         known, n = parts[0][first], np.diff(np.append(first, len(parts[0])))
-        every = np.union1d(known, parts[1][runs(parts[1])])
+        every = np.sort(np.concatenate((known, parts[1][runs(parts[1])])))
+        every = every[runs(every)]
         count = np.zeros(len(every), np.int64)
         count[np.searchsorted(every, known)] = n
         shard = gram_shards(every, len(keys))
@@ -147,31 +164,31 @@ class _Batch:
 
     @staticmethod
     def _words(words, shards: int) -> Iterator[tuple[int, list[bytes]]]:
-        by_shard: dict[int, list[bytes]] = {}
-        for w in sorted(words):
-            by_shard.setdefault(word_shard(w, shards), []).append(w)
-        yield from sorted(by_shard.items())
+        ordered = sorted(words)
+        shard = np.fromiter(map(zlib.crc32, ordered), np.int64, len(ordered)) % shards
+        order = np.argsort(shard, kind="stable")
+        cuts = runs(shard[order])
+        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            yield int(shard[order[a]]), [ordered[i] for i in order[a:b].tolist()]
 
     def scores(self, answers: dict[int, bytes], shards: int, word_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: score, known tokens, and the sum of log10(c + 1). answers: by shard, word shards after the others."""
         gram = grams(self.streams)
-        order = np.argsort(gram)
-        first = runs(gram[order])
-        every = gram[order[first]]
+        every = np.sort(gram)
+        every = every[runs(every)]
         shard = gram_shards(every, shards)
         by_shard = np.argsort(shard, kind="stable")
         value = np.empty(len(every))
         cuts = runs(shard[by_shard])
         for a, b in zip(cuts, [*cuts[1:], len(by_shard)], strict=True):
             value[by_shard[a:b]] = np.frombuffer(answers[int(shard[by_shard[a]])], "<f4")
-        by_place = np.empty(len(gram))
-        by_place[order] = np.repeat(value, np.diff(np.append(first, len(gram))))
+        by_place = value[places(every, gram)]
         size = np.fromiter(map(len, self.streams), np.int64, len(self.streams))
         score = np.add.reduceat(by_place, np.cumsum(size) - size)
         count: dict[bytes, int] = {}
-        for s, own in self._words({w for t in self.tokens for w in t}, word_shards):
+        for s, own in self._words(set(chain.from_iterable(self.tokens)), word_shards):
             count.update(zip(own, _array(_expand(answers[shards + s])).tolist(), strict=True))
-        flat = np.fromiter((count[w] for t in self.tokens for w in t), np.int64)
+        flat = np.fromiter(map(count.__getitem__, chain.from_iterable(self.tokens)), np.int64)
         n = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
         begin = np.cumsum(n) - n
         return score, np.add.reduceat((flat > 0).astype(np.int64), begin), np.add.reduceat(np.log10(flat + 1.0), begin)
@@ -247,7 +264,7 @@ def kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 def _mask(depth: int) -> np.uint64:
     """Keeps a node's decision and its `depth` nearest context bytes."""
-    return np.uint64(((1 << 8 * (depth + 1)) - 1) << 8 * (DEPTH - depth))
+    return np.uint64(((1 << 8 * (depth + 1)) - 1) << 8 * (WIDTH - depth))
 
 
 class Level:
@@ -468,16 +485,19 @@ def score(docs: DataFrame) -> DataFrame:
     for r in histogram.collect():  # 256 rows
         counts[r.byte] = r.n
     code = Code(counts)
-    of_words = F.col("shard") >= len_words(keys)
-    asked_grams = requests.where((F.col("shard") >= 0) & ~of_words).select("batch", "shard", "asked").repartition(len(keys), "shard")
-    asked_words = requests.where(of_words).select("batch", "shard", "asked").repartition(len(word_keys), F.col("shard") - len_words(keys))
+    for_words = F.col("shard") >= len_words(keys)
+    asked_grams = requests.where((F.col("shard") >= 0) & ~for_words).select("batch", "shard", "asked").repartition(len(keys), "shard")
+    asked_words = requests.where(for_words).select("batch", "shard", "asked").repartition(len(word_keys), F.col("shard") - len_words(keys))
     sums = asked_grams.mapInArrow(lambda x: _top_sums(x, code), "node long, n0 long, n1 long, product double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "product")])
     got = sums.toArrow()  # at most 256 ** (TOP - 1) contexts x 255 decisions
     column = lambda c: got.column(c).to_numpy()
     top = top_nodes(column("node").view(np.uint64), column("n0"), column("n1"), column("product"))
-    answers = asked_grams.mapInArrow(lambda x: _answer_grams(x, code, top), ANSWER).unionByName(asked_words.mapInArrow(_answer_words, ANSWER))
-    answers = scratch.write(answers)
-    tokens, distinct = requests.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0], answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    del sums
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the first shuffle of the grams before the second
+    of_words = scratch.write(asked_words.mapInArrow(_answer_words, ANSWER))
+    tokens, distinct = requests.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0], of_words.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    answers = asked_grams.mapInArrow(lambda x: _answer_grams(x, code, top), ANSWER).unionByName(of_words)
     texts = requests.where("shard = -1").select("batch", "asked")
     done = texts.groupBy("batch").cogroup(answers.where("batch >= 0").select("batch", "shard", "answer").groupBy("batch")).applyInArrow(
         lambda a, b: _finish(a, b, keys, word_keys), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_coded long"
