@@ -8,7 +8,8 @@ connection, and a crowd of m at one value costs m - 1 links, not m squared. Link
 Values are shuffled in blobs, not as rows: for each batch of fingerprints and each bucket one sorted, difference-coded,
 compressed array of values with the number of the flipped mask (2 bytes), from which the fingerprint is recovered.
 The pipeline asks for similarity 0.8, which is near 10 bits, beyond any ball that can be emitted. There texts are linked
-besides when their sets of shingles share a MinHash band and an exact check of the two sets finds the similarity.
+besides when their sets of shingles share a MinHash band and an exact check of the two sets finds the similarity; no two sets are paired
+that others connect already, and no bucket emits all its pairs (similar_links).
 
 A value's syndrome (three parities) says in which of eight rounds it is handled, so that a round's shuffle is an eighth
 of the whole; each round's links are written to shared storage.
@@ -33,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partition_keys, unused
+from .common import BROADCAST_ROWS, Scratch, partition_keys, unused
 from .components import components
 
 BITS, SEED = 64, 42
@@ -43,6 +44,7 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 VALUES_PER_BUCKET, BATCH = 3_000_000, 8192
 HOT = 1000
+PAIRS_PER_ROW = 2
 #: At similarity 0.8 two sets share none of 25 bands of 4 MinHash values with a chance of 2 in a million.
 BANDS, ROWS = 25, 4
 FLIPS, FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32)
@@ -217,14 +219,26 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(run, "doc_id long, row_key long, fp long, set_key long, size long, bands array<long>")
 
 
-def _verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, scratch: Scratch, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) of set keys whose sets have a Jaccard similarity of at least `least`. owners: set_key, row_key."""
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is counted to have few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _shingle_sets(docs: DataFrame, owners: DataFrame, shingle: int) -> DataFrame:
+    """set_key, hashes of the sets in owners (set_key, row_key)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("set_key"), pa.array(sets, pa.binary())], ["set_key", "hashes"])
 
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(_few(owners.select("set_key", "row_key")), "row_key").select("set_key", "text")
+    return texts.mapInArrow(read, "set_key long, hashes binary").dropDuplicates(["set_key"])
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b, others) of set keys whose sets have a Jaccard similarity of at least `least`."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -232,41 +246,56 @@ def _verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, scratch: Scr
                 x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield b.drop_columns(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
-    named = wanted.join(owners, "set_key").select("set_key", "row_key")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(named, "row_key").select("set_key", "text")
-    sets = scratch.write(texts.mapInArrow(read, "set_key long, hashes binary").dropDuplicates(["set_key"]))
-    first = sets.select(F.col("set_key").alias("a"), F.col("hashes").alias("x"))
-    second = sets.select(F.col("set_key").alias("b"), F.col("hashes").alias("y"))
-    return scratch.write(pairs.select("a", "b").join(first, "a").join(second, "b").mapInArrow(check, "a long, b long"))
+    wanted = _few(pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct())
+    asked = sets.join(wanted, "set_key", "left_semi")
+    first = asked.select(F.col("set_key").alias("a"), F.col("hashes").alias("x"))
+    second = asked.select(F.col("set_key").alias("b"), F.col("hashes").alias("y"))
+    return pairs.join(first, "a").join(second, "b").select(*pairs.columns, "x", "y").mapInArrow(check, pairs.schema)
 
 
 def similar_links(docs: DataFrame, rows: DataFrame, scratch: Scratch, shingle: int, least: float) -> DataFrame:
     """a, b: links between fingerprints that connect all sets of shingles that share a band and are similar enough.
 
-    In each band's bucket all sets are first held against one of them. Where that leaves a bucket in several components,
-    every pair across components is checked, so nothing that meets in a bucket is passed over."""
+    In rounds, each band's bucket holds all its sets against a few heads, which then leave the bucket. Sets that are known to be
+    connected, through any band, are not compared again, and a bucket is done when all that is left in it is connected; so every pair that
+    meets in a bucket is compared, or connected by others. Heads are taken from the smallest components of a bucket, as sets without links
+    are those that must meet all others. The number of heads grows as buckets empty, so that a round makes at most `PAIRS_PER_ROW` pairs for each
+    row there was at first, and a large bucket of like texts takes a few rounds of a linear number of pairs, not all pairs at once."""
     owners = scratch.write(rows.where("size > 0").groupBy("set_key").agg(F.min("row_key").alias("row_key"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     same = rows.where("size > 0").join(owners.select("set_key", F.col("fp").alias("b")), "set_key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
     placed = owners.select("set_key", "size", F.explode("bands").alias("band"))
-    shared = placed.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("band", "set_key").alias("h"), "set_key", "size")).alias("s")).where("n > 1")
-    met = scratch.write(placed.join(shared.select("band", F.col("s.set_key").alias("head"), F.col("s.size").alias("head_size")), "band"))
+    shared = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    met = scratch.write(placed.join(shared, "band").select("band", "set_key", "size", F.col("set_key").alias("root"), F.lit(1).cast("long").alias("kin"), F.xxhash64("band", "set_key").alias("h")))
+    sets = scratch.write(_shingle_sets(docs, owners.join(met.select("set_key").distinct(), "set_key", "left_semi"), shingle))
+    at_first = left = met.count()
     alike = lambda p, q: F.least(p, q) >= F.lit(least) * F.greatest(p, q)  # noqa: E731  a bound on the similarity
-    order = lambda p, q: (F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
-    stars = scratch.write(met.where((F.col("set_key") != F.col("head")) & alike(F.col("size"), F.col("head_size"))).select(*order("set_key", "head")).distinct())
-    found = _verified(docs, owners, stars, scratch, shingle, least)
-    roots = components(found, scratch)
-    rooted = met.join(roots, met["set_key"] == roots["node"], "left").select("band", "set_key", "size", F.coalesce("root", "set_key").alias("root"))
-    split = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    open_ = scratch.write(rooted.join(split, "band"))
-    other = open_.select("band", *[F.col(c).alias(f"{c}_2") for c in ("set_key", "size", "root")])
-    across = open_.join(other, "band").where((F.col("set_key") < F.col("set_key_2")) & (F.col("root") != F.col("root_2")) & alike(F.col("size"), F.col("size_2")))
-    rest = scratch.write(across.select(*order("set_key", "set_key_2")).distinct().join(stars, ["a", "b"], "left_anti"))
-    found = found.unionByName(_verified(docs, owners, rest, scratch, shingle, least))
+    found = []
+    while left:
+        heads_each = max(2, PAIRS_PER_ROW * at_first // left)
+        first = F.min(F.struct("kin", "h", "set_key", "size", "root")).alias("s")
+        heads = scratch.write(met.groupBy("band", F.pmod("h", F.lit(heads_each)).alias("part")).agg(first).select("band", F.col("s.set_key").alias("head"), F.col("s.size").alias("head_size"), F.col("s.root").alias("head_root")))
+        pairs = met.join(heads, "band").where((F.col("root") != F.col("head_root")) & alike(F.col("size"), F.col("head_size")))
+        pairs = pairs.select(F.least("set_key", "head").alias("a"), F.greatest("set_key", "head").alias("b"), F.least("root", "head_root").alias("low"), F.greatest("root", "head_root").alias("high")).distinct()
+        pairs = scratch.write(pairs)
+        linked = scratch.write(_verified(sets, pairs, least))
+        found.append(linked.select("a", "b"))
+        joined = _few(components(linked.select(F.col("low").alias("a"), F.col("high").alias("b")), scratch).withColumnRenamed("root", "new_root"))
+        rest = met.join(heads.select("band", F.col("head").alias("set_key")), ["band", "set_key"], "left_anti")
+        rest = rest.drop("kin").join(joined, rest["root"] == joined["node"], "left").withColumn("root", F.coalesce("new_root", "root")).drop("node", "new_root")
+        kin = rest.groupBy("band", "root").agg(F.count("*").alias("kin"))
+        open_ = kin.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+        nxt = scratch.write(rest.join(kin.join(open_, "band"), ["band", "root"]).select("band", "set_key", "size", "root", "kin", "h"))
+        for done in (met, heads, pairs):
+            scratch.drop_table(done)
+        met, left = nxt, nxt.count()
+        gc.collect()
+        scratch.spark.sparkContext._jvm.System.gc()
+    if not found:
+        return same
     fp = owners.select("set_key", "fp")
-    joined = found.join(fp.select(F.col("set_key").alias("a"), F.col("fp").alias("fa")), "a").join(fp.select(F.col("set_key").alias("b"), F.col("fp").alias("fb")), "b")
+    joined = _union(found).join(fp.select(F.col("set_key").alias("a"), F.col("fp").alias("fa")), "a").join(fp.select(F.col("set_key").alias("b"), F.col("fp").alias("fb")), "b")
     return same.unionByName(joined.where("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))).distinct()
 
 
