@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from .known import CONTAMINANTS
+
 #: The limits in force where a limits file gives no others.
 DEFAULT_LIMITS = """
 duplication ignore 0
@@ -102,7 +104,7 @@ class QcConfig:
     unique_limit: int = 100_000
     limits: Limits = field(default_factory=Limits)
     adapters: list[tuple[str, str]] = field(default_factory=lambda: list(DEFAULT_ADAPTERS))
-    contaminants: list[tuple[str, str]] = field(default_factory=list)
+    contaminants: list[tuple[str, str]] = field(default_factory=lambda: read_pairs(CONTAMINANTS))
 
     def __post_init__(self) -> None:
         if not 2 <= self.kmer_size <= 10:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST, SHORT = 20, 8
+LEAST, SHORT, SEED = 20, 8, 10
 
 
 def _turned(s: str) -> str:
@@ -29,6 +29,13 @@ def _stretches(equal: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _seeds(s: str) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for i in range(len(s) - SEED + 1):
+        out.setdefault(s[i : i + SEED], []).append(i)
+    return out
+
+
 def best_hit(query: str, contaminants: list[tuple[str, str]]) -> tuple[str, int, int] | None:
     """(name, length, percent identity) of the longest match, then the most identical one, then the first listed."""
     best: tuple[str, int, int] | None = None
@@ -39,6 +46,7 @@ def best_hit(query: str, contaminants: list[tuple[str, str]]) -> tuple[str, int,
             best = (name, length, identity)
 
     q = np.frombuffer(query.encode(), np.uint8)
+    seeds = _seeds(query)
     for name, sequence in contaminants:
         for strand in (sequence, _turned(sequence)):
             if SHORT <= len(query) < LEAST:
@@ -46,7 +54,9 @@ def best_hit(query: str, contaminants: list[tuple[str, str]]) -> tuple[str, int,
                     offer(name, len(query), 100)
                 continue
             s = np.frombuffer(strand.encode(), np.uint8)
-            for offset in range(LEAST - len(s), len(q) - LEAST):
+            # A stretch of over LEAST bases with a mismatch at most holds SEED equal ones in a row, so other offsets have none.
+            shared = {j - i for i in range(len(s) - SEED + 1) for j in seeds.get(strand[i : i + SEED], ())}
+            for offset in sorted(x for x in shared if LEAST - len(s) <= x < len(q) - LEAST):
                 lo, hi = max(0, -offset), min(len(s), len(q) - offset)
                 for length, bad in _stretches(s[lo:hi] == q[lo + offset : hi + offset]) if hi - lo > LEAST else ():
                     if length > LEAST:
