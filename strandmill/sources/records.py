@@ -18,18 +18,23 @@ COLORS = re.compile(r"^[GATCNgatcn][.0-6]+$")
 STEP = {"0": "ACGT", "1": "CATG", "2": "GTAC", "3": "TGCA"}
 #: Fixed values of the BAM format: the letters of its 4-bit bases and of its CIGAR operations.
 BAM_BASES, BAM_CIGAR = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+BAM_HEX, UP_33 = str.maketrans("0123456789abcdef", BAM_BASES), bytes((q + 33) % 256 for q in range(256))
 UNMAPPED, REVERSED, FAILED = 0x4, 0x10, 0x200
 
 
-def open_bytes(path: str) -> BinaryIO:
-    """The decompressed stream of a path; gzip (any number of members) and bzip2 are told by extension or by their first bytes."""
+def compressed(path: str) -> str:
+    """gzip (any number of members) and bzip2 are told by extension or by their first bytes."""
     with open(path, "rb") as f:
         magic = f.read(2)
     if magic == b"\x1f\x8b" or path.lower().endswith(".gz"):
-        return gzip.open(path, "rb")
-    if magic == b"BZ" or path.lower().endswith(".bz2"):
-        return bz2.open(path, "rb")
-    return open(path, "rb")
+        return "gzip"
+    return "bzip2" if magic == b"BZ" or path.lower().endswith(".bz2") else ""
+
+
+def open_bytes(path: str) -> BinaryIO:
+    """The decompressed stream of a path."""
+    kind = compressed(path)
+    return gzip.open(path, "rb") if kind == "gzip" else bz2.open(path, "rb") if kind else open(path, "rb")
 
 
 def decode_colors(colors: str) -> str:
@@ -41,10 +46,9 @@ def decode_colors(colors: str) -> str:
     return "".join(out)
 
 
-def fastq(stream: BinaryIO, name: str = "", casava: bool = False, nofilter: bool = False) -> Iterator[Record]:
-    """Four lines a record; blank lines are skipped only before an id. Whether a file has colours is told by its first record."""
+def fastq(stream: BinaryIO, name: str = "", casava: bool = False, nofilter: bool = False, colored: bool | None = None) -> Iterator[Record]:
+    """Four lines a record; blank lines are skipped only before an id. Whether a file has colours is told by its first record, unless given."""
     lines = ((n, x.rstrip("\r\n")) for n, x in enumerate(io.TextIOWrapper(stream, encoding="utf-8", newline="\n"), 1))
-    colored: bool | None = None
     for n, read_id in lines:
         if not read_id:
             continue
@@ -118,9 +122,9 @@ def bam(stream: BinaryIO, name: str = "", mapped_only: bool = False) -> Iterator
         cigar = "".join(f"{x >> 4}{BAM_CIGAR[x & 15]}" for x in ops)
         at += 4 * n_cigar
         packed = data[at : at + (length + 1) // 2]
-        sequence = "".join(BAM_BASES[b >> 4] + BAM_BASES[b & 15] for b in packed)[:length]
+        sequence = packed.hex().translate(BAM_HEX)[:length]
         raw = data[at + len(packed) : at + len(packed) + length]
-        quality = "" if raw[:1] == b"\xff" else "".join(chr(q + 33) for q in raw)
+        quality = "" if raw[:1] == b"\xff" else raw.translate(UP_33).decode("latin-1")
         if record := _aligned(data[32 : at - 4 * n_cigar - 1].decode(), flag, cigar, sequence, quality, mapped_only):
             yield record
 

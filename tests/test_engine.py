@@ -142,3 +142,59 @@ def test_stream_and_batch_agree(spark, tmp_path):
     q.stop()
     key = lambda rows: sorted(json.dumps(r.asDict(), default=str) for r in rows)
     assert key(spark.table("windows").collect()) == key(windowed_quality(df).collect())
+
+
+def _values(df):
+    return sorted(tuple(r) for r in df.select("ord", "ord_pf", "ord_q", "id", "sequence", "quality", "is_filtered", "colorspace").collect())
+
+
+def test_plain_fastq_is_read_in_parts(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    text = ""
+    for k in range(300):
+        n = rng.randrange(0, 40)
+        quality = "".join(rng.choice("@+I#5") for _ in range(n))
+        text += "\n" * (k % 17 == 0) + f"@r{k} 1:{'Y' if k % 5 == 0 else 'N'}:0\n" + "".join(rng.choice("ACGTN") for _ in range(n)) + f"\n+\n{quality}\n"
+    path = tmp_path / "a.fastq"
+    path.write_text(text)
+    cfg = QcConfig(casava=True)
+    want = _values(read_sequences(spark, [str(path)], cfg))
+    assert len(want) == 300
+    for size in (37, 200, 5000):
+        got = read_sequences(spark, [str(path)], cfg, split=size)
+        assert size > 1000 or got.rdd.getNumPartitions() > 20
+        assert _values(got) == want
+    colors = tmp_path / "c.csfastq"
+    colors.write_text("".join(f"@r{k}\nT0123{k % 4}\n+\nIIIII\n" for k in range(50)))
+    assert _values(read_sequences(spark, [str(colors)], split=100)) == _values(read_sequences(spark, [str(colors)]))
+
+
+def test_sam_is_read_in_parts(spark, tmp_path):
+    import io
+
+    from strandmill.sources import records
+
+    lines = ["@HD\tx"]
+    for k in range(400):
+        lines.append(f"r{k}\t{(4 if k % 7 == 0 else 0) + (16 if k % 3 == 0 else 0) + (512 if k % 5 == 0 else 0)}\tc\t1\t0\t2S6M1S\t*\t0\t0\t{'ACGTNACGT' if k % 4 else '*'}\t{'*' if k % 9 == 0 else 'IIHHGG@@5'}" + "\r" * (k % 2))
+    paths = []
+    for name, part in (("b.sam", lines[:250]), ("a.sam", lines[250:])):
+        (tmp_path / name).write_text("\n".join(part) + "\n\n")
+        paths.append(str(tmp_path / name))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        for fmt in ("sam", "sam_mapped"):
+            want = [r for p in paths for r in records.sam(open(p, "rb"), p, fmt == "sam_mapped")]
+            df = read_sequences(spark, paths, QcConfig(format=fmt))
+            got = df.orderBy("ord").collect()
+            assert df.rdd.getNumPartitions() > 3
+            assert [(r.id, r.sequence, r.quality, r.is_filtered, r.colorspace) for r in got] == want and [r.ord for r in got] == list(range(1, len(want) + 1))
+            assert [r.ord_pf for r in got if not r.is_filtered] == list(range(1, sum(not w[3] for w in want) + 1))
+            assert [r.ord_q for r in got if r.ord_q] == list(range(1, sum(not w[3] and bool(w[2]) for w in want) + 1))
+        (tmp_path / "bad.sam").write_text("r1\tx\tc\n")
+        with pytest.raises(Exception, match="no SAM record"):
+            read_sequences(spark, [str(tmp_path / "bad.sam")]).count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
