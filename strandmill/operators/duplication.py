@@ -26,8 +26,10 @@ def corrected(level: Column, seen: Column, at_limit: Column, total: Column) -> C
     """How many prefixes of this level there are, if `seen` were met among the first `at_limit` of `total` reads.
 
     The chance that a prefix with `level` reads has none among the first at_limit is the product over its reads of the shares of the places behind.
+    After 40 * total / at_limit of them it is below e^-40, which no number of prefixes cares for, so a level of any height takes no more steps.
     """
-    missed = F.aggregate(F.sequence(F.lit(0).cast("long"), level - 1), F.lit(1.0), lambda p, j: p * F.greatest(total - at_limit - j, F.lit(0)) / (total - j))
+    steps = F.least(level, F.ceil(40.0 * total / at_limit).cast("long"))
+    missed = F.aggregate(F.sequence(F.lit(0).cast("long"), steps - 1), F.lit(1.0), lambda p, j: p * F.greatest(total - at_limit - j, F.lit(0)) / (total - j))
     careless = 1 - seen / (seen + 0.01)
     chance = F.when(missed < careless, 0.0).otherwise(missed)
     return F.when((at_limit == total) | (total - seen < at_limit), seen.cast("double")).otherwise(seen / (1 - chance))

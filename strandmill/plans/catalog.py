@@ -38,7 +38,7 @@ def _reads(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
 
 def _with(view: str, body: str, *more: str) -> str:
     """SQL with the view as r, its unfiltered reads as pf, and more common tables."""
-    return "with " + ", ".join([f"r as ({duckdb_reads(view)})", "pf as (select * from r where not is_filtered)", *more]) + " " + body
+    return "with " + ", ".join([f"r as ({duckdb_reads(view)})", "pf as (select *, row_number() over (order by ord) as ord_pf from r where not is_filtered)", *more]) + " " + body
 
 
 BASES = "bc as (select pos::int as pos, substr(sequence, pos, 1) as base, count(*)::bigint as n from (select sequence, unnest(range(1, length(sequence)::bigint + 1)) as pos from pf) group by all)"
@@ -118,7 +118,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     _with(
         "short",
         "select tile, grp, base, round(m - avg(m) over (partition by grp), 9) as deviation from dense",
-        "tq as (select split_part(id, ':', 5)::int as tile, pos::int as pos, ascii(substr(quality, pos, 1)) as q from (select id, quality, unnest(range(1, length(quality)::bigint + 1)) as pos from pf where length(quality) > 0 and (ord <= 10000 or ord % 10 = 0)))",
+        "tq as (select split_part(id, ':', 5)::int as tile, pos::int as pos, ascii(substr(quality, pos, 1)) as q from (select id, quality, unnest(range(1, length(quality)::bigint + 1)) as pos from pf where length(quality) > 0 and (ord_pf <= 10000 or ord_pf % 10 = 0)))",
         "off as (select case when min(q) between 64 and 126 then 64 else 33 end as off from tq)",
         "tm as (select tile, pos, avg(q - off) as m from tq, off where q >= off group by all)",
         f"g as (select * from {duckdb_values(base_groups(SHORT_MAX))})",
@@ -187,7 +187,19 @@ for _view in ("short", "long"):
     )
 
 
-@query("gc_deviation")
+@query(
+    "gc_deviation",
+    _with(
+        "short",
+        "select mode, round(sd, 6) as stdev, round(100 * sum(abs(t / sqrt(2 * pi() * sd * sd) * exp(-power(bin - mode, 2) / (2 * sd * sd)) - n)) / any_value(t), 6) as deviation from sd, ga group by mode, sd",
+        *GC_BINS,
+        "ga as (select a.bin, coalesce(n, 0.0) as n from (select unnest(range(0, 101)) as bin) a left join gb on gb.bin = a.bin)",
+        "tp as (select min(bin) as top, any_value(mx) as mx, any_value(t) as t from (select bin, n, max(n) over () as mx, sum(n) over () as t from ga) where n = mx)",
+        "ed as (select top, t, min(bin) filter (where bin >= top and n <= mx - mx / 10) as up, max(bin) filter (where bin < top and n <= mx - mx / 10) as down from ga, tp group by all)",
+        "md as (select t, case when up is null or down is null then top else (up + down) / 2.0 end::double as mode from ed)",
+        "sd as (select mode, t, sqrt(sum(power(bin - mode, 2) * n) / (t - 1)) as sd from ga, md group by mode, t)",
+    ),
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = [r.n for r in composition.gc_distribution(cubes.read_cube(_reads(spark, sf_dir, "short"))).orderBy("bin").collect()]
     mode, stdev, deviation, _curve = gc_summary(bins)
@@ -211,7 +223,7 @@ for _view in ("short", "long"):
 
 # --- duplication ------------------------------------------------------------------------------------------------------
 DUPS = (
-    "du as (select case when length(sequence) > 50 then substr(sequence, 1, 50) else sequence end as prefix, count(*)::bigint as n, min(ord)::bigint as first_ord from pf group by 1)",
+    "du as (select case when length(sequence) > 50 then substr(sequence, 1, 50) else sequence end as prefix, count(*)::bigint as n, min(ord_pf)::bigint as first_ord from pf group by 1)",
     "dl as (select n, count(*) as u from du group by n)",
     "ds as (select case when n-1 > 9999 then 15 when n-1 > 4999 then 14 when n-1 > 999 then 13 when n-1 > 499 then 12 when n-1 > 99 then 11 when n-1 > 49 then 10 when n-1 > 9 then 9 else n-1 end as slot, sum(u)::double as u, sum(u*n)::double as r from dl group by 1)",
 )
@@ -230,9 +242,27 @@ def _counted(reads: DataFrame) -> tuple[DataFrame, int]:
     return cube, cube.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def _dup_levels(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+def _dup_levels(spark: SparkSession, sf_dir: str, view: str, limit: int = 100_000, digits: int = 9) -> DataFrame:
     cube, total = _counted(_reads(spark, sf_dir, view))
-    return duplication.duplication_levels(cube, total).withColumns({c: F.round(c, 9) for c in ("percent", "deduplicated")})
+    return duplication.duplication_levels(cube, total, limit).withColumns({c: F.round(c, digits) for c in ("percent", "deduplicated")})
+
+
+#: A limit on different prefixes that the short view goes beyond.
+FROZEN = 300
+query(
+    "dup_levels_frozen",
+    _with(
+        "short",
+        f"select ax.slot::int as slot, ax.level, round(coalesce(100*ds.r/(select sum(r) from ds), 0.0), 6) as percent, round(100*(select sum(u) from ds)/(select sum(r) from ds), 6) as deduplicated from {_AXIS} left join ds on ds.slot = ax.slot",
+        DUPS[0],
+        f"kp as (select * from du order by first_ord limit {FROZEN})",
+        f"lim as (select case when count(*) >= {FROZEN} then max(first_ord) else sum(n) end::bigint as l, (select count(*) from pf)::bigint as t from kp)",
+        "lv as (select n as d, count(*)::double as seen from kp group by n)",
+        "ms as (select *, list_aggregate(list_transform(range(0, d), lambda j: greatest(t - l - j, 0)::double / (t - j)), 'product') as miss from lv, lim)",
+        "uq as (select d, case when l = t or t - seen < l then seen else seen / (1 - case when miss < 1 - seen / (seen + 0.01) then 0 else miss end) end as u from ms)",
+        "ds as (select case when d-1 > 9999 then 15 when d-1 > 4999 then 14 when d-1 > 999 then 13 when d-1 > 499 then 12 when d-1 > 99 then 11 when d-1 > 49 then 10 when d-1 > 9 then 9 else d-1 end as slot, sum(u) as u, sum(u * d) as r from uq group by 1)",
+    ),
+)(lambda s, d: _dup_levels(s, d, "short", FROZEN, 6))
 
 
 query("dedup_percent", _with("long", "select round(100*sum(u)/sum(r), 9) as deduplicated from ds", *DUPS))(lambda s, d: _dup_levels(s, d, "long").groupBy().agg(F.max("deduplicated").alias("deduplicated")))
@@ -280,7 +310,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 K = 5
-KMERS = "km as (select kmer, pos::int as pos, count(*)::bigint as n from (select substr(s, pos::int, %d) as kmer, pos from (select substr(sequence, 1, 500) as s, unnest(range(1, least(length(sequence), 500)::bigint - %d + 2)) as pos from pf where ord %% 50 = 0)) where not contains(kmer, 'N') group by all)" % (K, K)
+KMERS = "km as (select kmer, pos::int as pos, count(*)::bigint as n from (select substr(s, pos::int, %d) as kmer, pos from (select substr(sequence, 1, 500) as s, unnest(range(1, least(length(sequence), 500)::bigint - %d + 2)) as pos from pf where ord_pf %% 50 = 0)) where not contains(kmer, 'N') group by all)" % (K, K)
 _KMER_GROUPS = base_groups(SHORT_MAX - K + 1)
 
 
@@ -332,25 +362,41 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", C.soft_clipped(s, cigar).alias("trimmed"))
 
 
+#: Bases as numbers in order of ACGT, a colour is the exclusive or of two neighbours; from the first other sign on all is N.
 @query(
     "colorspace_decode",
-    """with recursive src as (select event_id, concat('T', translate(substr(md5(event_id::varchar), 1, 12), '0123456789abcdef', '012301230123012.')) as c from events where event_id < 500),
- d as (select event_id, c, 1 as i, 'T' as last, '' as out from src
-  union all select event_id, c, i + 1, nxt, concat(out, nxt) from (select *, case when last = 'N' then 'N' when substr(c, i+1, 1) = '0' then last when substr(c, i+1, 1) = '1' then translate(last, 'ACGT', 'CATG')
-   when substr(c, i+1, 1) = '2' then translate(last, 'ACGT', 'GTAC') when substr(c, i+1, 1) = '3' then translate(last, 'ACGT', 'TGCA') else 'N' end as nxt from d where i < length(c)))
- select event_id, out as bases from d where i = length(c)""",
+    """with src as (select event_id, translate(substr(md5(event_id::varchar), 1, 12), '0123456789abcdef', '012301230123012.') as c from events),
+ ch as (select event_id, i, substr(c, i::int, 1) as x from src, range(1, 13) t(i)),
+ st as (select event_id, i, bool_or(x = '.') over w as bad, bit_xor(case when x = '.' then 0 else x::int end) over w as v from ch window w as (partition by event_id order by i))
+ select event_id, string_agg(case when bad then 'N' else substr('ACGT', 1 + xor(3, v)::int, 1) end, '' order by i) as bases from st group by event_id""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decoded(spark, sf_dir).where("event_id < 500")
-
-
-@query("colorspace_decode_all")
-def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event's colours; without SQL, as the recursive one above is held to its first 500."""
     colors = F.concat(F.lit("T"), F.translate(F.substring(F.md5(F.col("event_id").cast("string")), 1, 12), "0123456789abcdef", "012301230123012."))
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", C.decode_colors(colors).alias("bases"))
 
 
+#: SAM lines of the events: flags of all kinds, clips at both ends, no qualities for some.
+_SAM_FLAGS = "(case when event_id % 7 = 0 then 4 else 0 end + case when event_id % 3 = 0 then 16 else 0 end + case when event_id % 11 = 0 then 512 else 0 end)"
+_SAM_EVENTS = """select event_id, {flags} as flag, translate(substr(md5(cast(event_id as {S})), 1, 20), '0123456789abcdef', 'ACGTACGTACGTACGN') as s,
+  case when event_id % 13 = 0 then '*' else translate(substr(md5(cast(event_id as {S})), 1, 20), '0123456789abcdef', 'IIIIHHGGFEDC@?:5') end as q, cast(event_id % 5 as int) as f, cast(event_id % 4 as int) as b from {events}"""
+
+
+@query(
+    "sam_records",
+    f"""with e as ({_SAM_EVENTS.format(S="varchar", flags=_SAM_FLAGS, events="events")}),
+ c as (select event_id, flag, substr(s, 1 + f, 20 - f - b) as s, case when q = '*' then '' else substr(q, 1 + f, 20 - f - b) end as q from e where flag & 4 = 0)
+ select concat('r', event_id) as id, case when flag & 16 <> 0 then reverse(translate(s, 'ACGT', 'TGCA')) else s end as sequence, case when flag & 16 <> 0 then reverse(q) else q end as quality, flag & 512 <> 0 as is_filtered from c""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.sam import sam_records
+
+    made = spark.sql(_SAM_EVENTS.format(S="string", flags=_SAM_FLAGS.replace("%", "%"), events=f"parquet.`{sf_dir}/events.parquet`"))
+    part = lambda n: F.when(n > 0, F.concat(n.cast("string"), F.lit("S"))).otherwise("")
+    cigar = F.concat(part(F.col("f")), (20 - F.col("f") - F.col("b")).cast("string"), F.lit("M"), part(F.col("b")))
+    fields = [F.concat(F.lit("r"), F.col("event_id").cast("string")), F.col("flag").cast("string"), F.lit("c"), F.lit("1"), F.lit("0"), cigar, F.lit("*"), F.lit("0"), F.lit("0"), F.col("s"), F.col("q")]
+    return sam_records(made.select(F.concat_ws("\t", *fields).alias("value")), mapped_only=True).select("id", "sequence", "quality", "is_filtered")
+
+
 # --- base groups ------------------------------------------------------------------------------------------------------
 LENGTHS = (75, 76, 100, 150, 250, 300, 1001, 2001)
 for _name, _flags in (("linear", {}), ("exp", {"expgroup": True}), ("none", {"nogroup": True})):

@@ -6,6 +6,7 @@ import os
 import random
 import struct
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -160,3 +161,60 @@ def test_standard_input_is_spooled():
     path = spooled("stdin", io.BytesIO(gzip.compress(b"@a\nAC\n+\nII\n")))
     assert len(list(records.records(path, "fastq"))) == 1 and spooled("x.fastq") == "x.fastq"
     os.remove(path)
+
+
+def test_seeded_contaminant_search_misses_nothing():
+    import random
+
+    from strandmill.functions import contaminants as module
+
+    rng = random.Random(5)
+    base = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+
+    def plain(query, listed):
+        best = None
+        for name, sequence in listed:
+            for strand in (sequence, module._turned(sequence)):
+                if 8 <= len(query) < 20:
+                    found = [(len(query), 100)] if query in strand else []
+                else:
+                    found = []
+                    for offset in range(20 - len(strand), len(query) - 20):
+                        lo, hi = max(0, -offset), min(len(strand), len(query) - offset)
+                        equal = np.array([strand[i] == query[i + offset] for i in range(lo, hi)], bool)
+                        found += [(n, (n - bad) * 100 // n) for n, bad in module._stretches(equal) if n > 20] if hi - lo > 20 else []
+                for length, identity in found:
+                    if best is None or (length, identity) > best[1:]:
+                        best = (name, length, identity)
+        return best
+
+    hits = 0
+    for _ in range(150):
+        listed = [(f"c{k}", base(rng.randrange(15, 60))) for k in range(3)]
+        own = rng.choice(listed)[1]
+        own = own if rng.random() < 0.5 else module._turned(own)
+        query = list(base(rng.randrange(0, 12)) + own[rng.randrange(0, 6) :] + base(rng.randrange(0, 12)))
+        for _ in range(rng.randrange(0, 3)):
+            query[rng.randrange(len(query))] = rng.choice("ACGTN")
+        assert best_hit("".join(query), listed) == plain("".join(query), listed)
+        hits += plain("".join(query), listed) is not None
+    assert hits > 60
+
+
+def test_contaminants_are_known_by_default():
+    from strandmill.config import QcConfig
+
+    known = QcConfig().contaminants
+    assert len(known) == 151 and len({n for n, _ in known}) > 140 and all(set(s) <= set("ACGTN") for _, s in known)
+    assert hit_text(best_hit("GATCGGAAGAGCTCGTATGCCGTCTTCTGCTTGAAAAAAAAAAAAAAAAAA", known)) == "Illumina Single End Adapter 1 (100% over 33bp)"
+
+
+def test_steps_of_high_levels_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from strandmill.operators.duplication import corrected
+
+    df = spark.createDataFrame([(10**9, 3, 10**6, 10**10), (5, 7, 300, 9000), (40, 1, 300, 9000)], "n long, seen long, lim long, total long")
+    got = [r.u for r in df.select(corrected(F.col("n"), F.col("seen"), F.col("lim"), F.col("total")).alias("u")).collect()]
+    miss = lambda n: math.prod((9000 - 300 - j) / (9000 - j) for j in range(n))
+    assert got[0] == 3 and got[1:] == pytest.approx([7 / (1 - miss(5)), 1 / (1 - miss(40))])
