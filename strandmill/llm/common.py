@@ -17,6 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A joined table of so many rows at most is broadcast; its rows are a key and a few numbers.
 BROADCAST_ROWS = 20_000
+#: A key that over one in so many rows has is a hot one.
+HOT = 1000
 
 _local_dir: list[str] = []
 
@@ -66,6 +68,18 @@ def join_small(rows: DataFrame, small: DataFrame, key: str, spread_by: Column) -
     return rows.withColumn(salt, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).join(dealt, [key, salt], "left").drop(salt)
 
 
+def join_hot(rows: DataFrame, named: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with named, which has a row for each value of the keys, and in n how many rows have it. Values that over 1 / HOT of
+    all rows have, of which there can't be more than HOT, are broadcast, so that no task gets all rows of one; the others meet by shuffle."""
+    total = named.agg(F.sum("n")).first()[0] or 0
+    others = [c for c in named.columns if c not in keys and c != "n"]
+    hot = named.where(F.col("n") * HOT > total).select(*keys, F.struct(*others).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    at_once = marked.where(F.col("_hot").isNotNull()).select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in others])
+    rest = marked.where(F.col("_hot").isNull()).drop("_hot").join(named.drop("n"), keys, how)
+    return rest.select(*rows.columns, *others).unionByName(at_once)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local temporary one only where that is unset and all runs in one process, as in tests."""
     if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):

@@ -2,19 +2,22 @@
 
 A line's quote level is the number of '>' it starts with. Lines of one level in a row are a passage. Passages, and the own text
 of every message, are normalised (lower case, quote marks dropped, white space drawn together) and hashed: as a whole, by
-paragraph, and by line; paragraphs and lines count from `LEAST` characters on. A quoted unit belongs to the earliest message, by
-(conv_id, turn), with the same hash in its own text: in the quoting message's conversation if there is one, else
-anywhere, if it comes before the quoting message. A message answers the original of its least nested linked passage (whole
-passages before paragraphs before lines, then the longest); without one it hangs on the first message of its conversation.
-Threads are the trees of these answers; a message's place in its thread is ordered by depth, then (conv_id, turn).
-
-Everything is DataFrame expressions. Originals are reduced to one message a hash before the join, so a passage that a
-third of all messages share meets one row; roots are found by pointer doubling; places come from a range sort and
-partition offsets, not from a window over a thread.
+paragraph, and by line. A quoted unit belongs to the earliest message, by (conv_id, turn), with the same hash in its own text: in the
+quoting message's conversation, before it, if there is one, else in another conversation, if the unit is a whole passage or has `LEAST` characters at least
+(a short line within a passage, such as a greeting, says nothing outside its conversation). Numbers of conversations are no dates, so a message
+may quote one with a higher number. A message answers the original of its least nested linked passage (whole
+passages before paragraphs before lines, then the longest); without one it hangs on the first message of its conversation. Where such
+answers make a circle, its first message by (conv_id, turn) answers none. Threads are the trees of these answers; a message's place in
+its thread is ordered by depth, then (conv_id, turn).
+
+Everything is DataFrame expressions. Originals are reduced to one message a hash and conversation before the join, so a passage that a
+third of all messages share meets one row, which is broadcast to them if so many ask for it; roots are found by pointer doubling; places come
+from a range sort and partition offsets, not from a window over a thread.
 
 Defined cases: a null text is empty; a message of quotes only has empty text. Null conv_id is one conversation, and comes
-first, as does null turn. Repeated rows are messages of their own, in no stated order. A message never links to itself or to a
-later one, so there are no cycles. Control characters 1 and 2 are ignored in passages. An empty table gives an empty result. Other columns are ignored.
+first, as does null turn. Repeated rows are messages of their own, in no stated order. A message never links to itself. Control
+characters 1 and 2 are ignored in passages. A very long text is one row like any other, its lines an array of that row. An empty table gives
+an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, join_hot, text_or_empty
+from .components import components
 
 LEAST = 20
 MARKS = r"^((?:[ \t]*>)+)"
@@ -34,10 +38,10 @@ def normalised(text: Column) -> Column:
 
 
 def _units(text: Column) -> Column:
-    """(kind, key, size) of a text as a whole, its paragraphs and its lines."""
+    """(kind, key, size) of a text as a whole, its paragraphs and its lines, but blank ones."""
     piece = lambda kind, x: F.struct(F.lit(kind).alias("kind"), F.md5(normalised(x)).alias("key"), F.length(normalised(x)).alias("size"))
-    long_ = lambda parts, kind: F.filter(F.transform(parts, lambda x: piece(kind, x)), lambda u: u["size"] >= LEAST)
-    return F.concat(F.filter(F.array(piece(WHOLE, text)), lambda u: u["size"] > 0), long_(F.split(text, r"\n[ \t]*\n"), PARAGRAPH), long_(F.split(text, "\n"), LINE))
+    some = lambda parts, kind: F.transform(parts, lambda x: piece(kind, x))
+    return F.filter(F.concat(F.array(piece(WHOLE, text)), some(F.split(text, r"\n[ \t]*\n"), PARAGRAPH), some(F.split(text, "\n"), LINE)), lambda u: u["size"] > 0)
 
 
 def parse(messages: DataFrame) -> DataFrame:
@@ -54,36 +58,56 @@ def parse(messages: DataFrame) -> DataFrame:
     return df.select("conv_id", "turn", "role", "mid", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")).alias("ckey"), order.alias("okey"), own.alias("text"), F.when(F.exists("_l", lambda x: x["level"] > 0), quoted).otherwise(F.array().cast("array<struct<level:int,text:string>>")).alias("passages"))
 
 
-def link(parsed: DataFrame) -> DataFrame:
+def link(parsed: DataFrame, scratch: Scratch) -> DataFrame:
     """mid, n_quotes, n_linked, parent (order key of the message answered; null if no passage is linked) of messages with passages."""
     asked = parsed.where(F.size("passages") > 0).select("mid", "ckey", "okey", F.posexplode("passages").alias("passage", "p"))
     units = asked.select("mid", "ckey", "okey", "passage", F.col("p.level").alias("level"), F.explode_outer(_units(F.col("p.text"))).alias("u")).select("mid", "ckey", "okey", "passage", "level", "u.*")
-    wanted = units.where(F.col("key").isNotNull()).select("key").distinct()
-    texts = parsed.select("ckey", F.col("okey").alias("at"), F.explode(F.array_distinct(F.transform(_units(F.col("text")), lambda u: u["key"]))).alias("key")).join(wanted, "key", "left_semi")
-    near = texts.groupBy("key", "ckey").agg(F.min("at").alias("near"))
-    far = near.groupBy("key").agg(F.min("near").alias("far"))
-    found = units.join(near, ["key", "ckey"], "left").join(far, "key", "left")
-    found = found.withColumn("at", F.when(F.col("near") < F.col("okey"), F.col("near")).when(F.col("far") < F.col("okey"), F.col("far")))
+    wanted = scratch.write(units.where(F.col("key").isNotNull()).groupBy("key", "ckey").agg(F.count("*").alias("n")))
+    texts = parsed.select("ckey", F.col("okey").alias("at"), F.explode(F.array_distinct(F.transform(_units(F.col("text")), lambda u: u["key"]))).alias("key"))
+    near = scratch.write(texts.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key", "ckey").agg(F.min("at").alias("near")))
+    # The first messages of the two first conversations that hold a unit: one of them is another than the asking one.
+    two = near.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("near"))).where("r <= 2")
+    far = two.groupBy("key").agg(F.min("near").alias("far"), F.min_by("ckey", "near").alias("far_ckey"), F.max(F.when(F.col("r") == 2, F.col("near"))).alias("next"))
+    asking = wanted.groupBy("key").agg(F.count("*").alias("n"))
+    both = join_hot(wanted, asking.join(far, "key", "left"), ["key"]).join(near, ["key", "ckey"], "left")
+    other = F.when(F.col("far_ckey") != F.col("ckey"), F.col("far")).otherwise(F.col("next"))
+    originals = scratch.write(both.select("key", "ckey", "n", "near", other.alias("other")))
+    found = join_hot(units, originals, ["key", "ckey"], "left")
+    found = found.withColumn("at", F.when(F.col("near") < F.col("okey"), F.col("near")).when((F.col("size") >= LEAST) | (F.col("kind") == WHOLE), F.col("other")))
     best = F.min(F.when(F.col("at").isNotNull(), F.struct("level", (-F.col("kind")).alias("k"), (-F.col("size")).alias("s"), "passage", "at")))
     by_passage = found.groupBy("mid", "passage").agg(best.alias("best"))
     return by_passage.groupBy("mid").agg(F.count("*").alias("n_quotes"), F.count("best").alias("n_linked"), F.min("best").alias("best")).select("mid", "n_quotes", "n_linked", F.col("best.at").alias("parent"))
 
 
-def _roots(up: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, root, depth from up (node, root, depth): each node's ancestor at a distance; doubles until all end at a root."""
-    now = scratch.write(up)
+def _roots(up: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """up: node, root (the next node up, or itself), depth (of that step), okey. Gives node, root, depth, and the nodes whose link was cut to open a circle (None if none was).
+
+    Pointers double until all end at a root. A chain has nodes of every depth up to its own, so once a round leaves as many
+    nodes unfinished as the one before, those that are left run into circles; and the nodes where they stand are the circles' own."""
+    now = scratch.write(up.select("node", "root", "depth"))
+    before = -1
     while True:
         above = now.select(F.col("node").alias("root"), F.col("root").alias("top"), F.col("depth").alias("more"))
         nxt = scratch.write(now.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce(F.col("more") > 0, F.lit(False)).alias("moved")))
         scratch.drop_table(now)
-        now = nxt.drop("moved")
-        if not nxt.where("moved").limit(1).count():
-            return now
+        moved = nxt.where("moved").count()
+        if not moved:
+            return nxt.drop("moved"), None
+        if moved == before:
+            break
+        now, before = nxt.drop("moved"), moved
+    circles = scratch.write(nxt.where("moved").select(F.col("root").alias("node")).distinct())
+    own = up.join(circles, "node")
+    least = components(own.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch).withColumnRenamed("root", "circle")
+    named = own.join(least, "node", "left").withColumn("circle", F.coalesce("circle", "node"))
+    cut = scratch.write(named.groupBy("circle").agg(F.min("okey").alias("okey")).select(F.col("okey.mid").alias("node"), F.lit(True).alias("cut")))
+    opened = up.join(cut, "node", "left").select("node", F.when(F.col("cut"), F.col("node")).otherwise(F.col("root")).alias("root"), F.when(F.col("cut"), 0).otherwise(F.col("depth")).cast("long").alias("depth"), "okey")
+    return _roots(opened, scratch)[0], cut
 
 
 def _places(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds position (from 1) within thread, by depth and okey."""
-    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = rows.repartitionByRange(parts, "thread", "depth", "okey").sortWithinPartitions("thread", "depth", "okey")
     seen = scratch.write(cut.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     ends = seen.groupBy("thread", "_p").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
@@ -96,12 +120,14 @@ def conversations(messages: DataFrame) -> DataFrame:
     """A row for each message: conv_id, turn, role, text (without quotes), n_quotes, n_linked, parent_conv, parent_turn, thread_conv, thread_turn, depth, position."""
     scratch = Scratch(messages.sparkSession)
     parsed = scratch.write(parse(messages))
-    links = scratch.write(link(parsed))
-    heads = parsed.groupBy("ckey").agg(F.min("okey").alias("head"))
-    tied = parsed.drop("passages").join(links, "mid", "left").join(heads, "ckey")
+    links = scratch.write(link(parsed, scratch))
+    heads = parsed.groupBy("ckey").agg(F.min("okey").alias("head"), F.count("*").alias("n"))
+    tied = join_hot(parsed.drop("passages").join(links, "mid", "left"), heads, ["ckey"])
     tied = scratch.write(tied.withColumn("parent", F.coalesce("parent", F.when(F.col("head") != F.col("okey"), F.col("head")))))
-    up = tied.select(F.col("mid").alias("node"), F.coalesce("parent.mid", "mid").alias("root"), F.col("parent").isNotNull().cast("long").alias("depth"))
-    roots = _roots(up, scratch)
+    up = tied.select(F.col("mid").alias("node"), F.coalesce("parent.mid", "mid").alias("root"), F.col("parent").isNotNull().cast("long").alias("depth"), "okey")
+    roots, cut = _roots(up, scratch)
+    if cut is not None:
+        tied = tied.join(cut.withColumnRenamed("node", "mid"), "mid", "left").withColumn("parent", F.when(F.col("cut").isNull(), F.col("parent"))).drop("cut")
     names = parsed.select(F.col("mid").alias("root"), F.col("okey").alias("thread"))
     placed = _places(tied.join(roots, tied["mid"] == roots["node"]).drop("node").join(names, "root"), scratch)
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)

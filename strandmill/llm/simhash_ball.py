@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, partition_keys, unused
+from .common import BROADCAST_ROWS, Scratch, join_hot, partition_keys, unused
 from .components import components
 
 BITS, SEED = 64, 42
@@ -43,7 +43,6 @@ ROUND_BITS = 3
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 VALUES_PER_BUCKET, BATCH = 3_000_000, 8192
-HOT = 1000
 PAIRS_PER_ROW = 2
 #: At similarity 0.8 two sets share none of 25 bands of 4 MinHash values with a chance of 2 in a million.
 BANDS, ROWS = 25, 4
@@ -299,16 +298,6 @@ def similar_links(docs: DataFrame, rows: DataFrame, scratch: Scratch, shingle: i
     return same.unionByName(joined.where("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))).distinct()
 
 
-def _join_hot(rows: DataFrame, named: DataFrame, spark) -> DataFrame:
-    """rows joined with named (a row for each fp, n: how many rows have it). Fingerprints with over 1 / HOT of all rows, of which there can't
-    be more than HOT, are broadcast, so that no task gets all rows of one; the others meet by shuffle."""
-    total = named.agg(F.sum("n")).first()[0] or 0
-    hot = named.where(F.col("n") * HOT > total).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
-    marked = rows.join(F.broadcast(hot), "fp", "left")
-    at_once = marked.where("hot").withColumnRenamed("hot_id", "component_id").drop("hot")
-    return marked.where("hot is null").drop("hot", "hot_id").join(named.drop("n"), "fp").unionByName(at_once)
-
-
 def simhash_groups(docs: DataFrame, shingle: int = 4, half: int = 2, scratch: Scratch | None = None, least: float | None = None) -> DataFrame:
     """doc_id, row_key, fingerprint (16 hex digits), component_id (least doc_id of the component). With `least`, texts whose
     sets of shingles have at least that Jaccard similarity are linked too."""
@@ -322,7 +311,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, half: int = 2, scratch: Sc
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.write(placed.join(lowest, "root").select("fp", "n", "component_id"))
-    return _join_hot(rows, named, docs.sparkSession).select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_hot(rows, named, ["fp"]).select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, half: int = 2, least: float | None = None) -> DataFrame:

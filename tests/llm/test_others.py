@@ -1,12 +1,15 @@
 """Vectors, pages, conversations, and the pipeline."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 
 from strandmill.llm import host_consensus, permutation_index, quote_links
 from strandmill.llm.host_consensus import Page
 
-from .helpers import documents
+from .helpers import documents, prose
 
 VECTORS = "vec_id long, embedding array<float>, label int, score string"
 
@@ -180,6 +183,97 @@ def test_quotes(spark):
     assert quote_links.conversations(spark.createDataFrame([], MESSAGES)).collect() == []
 
 
+def _threads(rows):
+    """The same rules, message by message. rows: (conv_id, turn, text), all different."""
+    clean = lambda t: re.sub(r"[\s>]+", " ", t.lower()).strip(" ")
+    level = lambda x: len(re.match(r"(?:[ \t]*>)*", x)[0].replace(" ", "").replace("\t", ""))
+
+    def units(t):
+        parts = [(3, t), *[(2, x) for x in re.split(r"\n[ \t]*\n", t)], *[(1, x) for x in t.split("\n")]]
+        return [(kind, clean(x)) for kind, x in parts if clean(x)]
+
+    own, passages = {}, {}
+    for c, k, t in rows:
+        lines = [(level(x), x) for x in (t or "").split("\n")]
+        own[c, k] = "\n".join(x for n, x in lines if not n).strip(" ")
+        runs = []
+        for n, x in lines:
+            if runs and runs[-1][0] == n:
+                runs[-1][1].append(x)
+            else:
+                runs.append((n, [x]))
+        passages[c, k] = [(n, "\n".join(re.sub(r"^(?:[ \t]*>)+[ ]?", "", x) for x in xs)) for n, xs in runs if n]
+    first = {}
+    for m in sorted(own):
+        for _, u in units(own[m]):
+            first.setdefault(u, {}).setdefault(m[0], m)
+    up, n_linked = {}, {}
+    for m in sorted(own):
+        best = []
+        for p, (n, text) in enumerate(passages[m]):
+            found = []
+            for kind, u in units(text):
+                at = first.get(u, {})
+                other = min((x for c, x in at.items() if c != m[0]), default=None)
+                if m[0] in at and at[m[0]] < m:
+                    found.append((n, -kind, -len(u), p, at[m[0]]))
+                elif (len(u) >= quote_links.LEAST or kind == 3) and other:
+                    found.append((n, -kind, -len(u), p, other))
+            best += [min(found)] if found else []
+        n_linked[m] = len(best)
+        head = min(x for x in own if x[0] == m[0])
+        up[m] = min(best)[-1] if best else head if head != m else None
+    for m in sorted(up):
+        path, at = [], m
+        while at is not None and at not in path:
+            path.append(at)
+            at = up[at]
+        if at is not None:
+            up[min(path[path.index(at) :])] = None
+    out = {}
+    for m in up:
+        depth, at = 0, m
+        while up[at] is not None:
+            depth, at = depth + 1, up[at]
+        out[m] = (own[m], len(passages[m]), n_linked[m], up[m], at, depth)
+    place = {}
+    for root in {o[4] for o in out.values()}:
+        for k, m in enumerate(sorted((m for m in out if out[m][4] == root), key=lambda m: (out[m][5], m)), 1):
+            place[m] = k
+    return {m: (*o, place[m]) for m, o in out.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_generated_quotes_match_plain_rules(spark, seed):
+    rng = random.Random(seed)
+    said: list[str] = ["Yes.", "no way", "> stray mark inside"]
+    rows = []
+    for k in range(150):
+        parts = []
+        for _ in range(rng.randrange(0, 3)):
+            quoted = rng.choice(said).split("\n")
+            mark = rng.choice(["> ", ">", ">> ", "> > ", " > "])
+            parts += [mark + (x.upper() if rng.random() < 0.2 else x) for x in quoted[: rng.randrange(1, 4)]]
+        for _ in range(rng.randrange(1, 4)):
+            parts.append(rng.choice(["Yes.", "ok", "", prose(rng, rng.randrange(1, 12)), "a remark that many messages make again", rng.choice(said[-9:])]))
+        text = "\n".join(parts)
+        said.append(text)
+        rows.append((rng.choice([0, 1, 2, 3, 40, 41]), k, text))
+    rows = [(c if rng.random() < 0.8 else 50 - c, k, t) for c, k, t in rows]
+    df = spark.createDataFrame([(c, k, "user", t, "x") for c, k, t in rows], MESSAGES).repartition(4)
+    got = {(r.conv_id, r.turn): (r.text, r.n_quotes, r.n_linked, None if r.parent_conv is None else (r.parent_conv, r.parent_turn), (r.thread_conv, r.thread_turn), r.depth, r.position) for r in quote_links.conversations(df).collect()}
+    want = _threads(rows)
+    assert got == want and sum(w[2] for w in want.values()) > 30
+
+
+def test_circles_of_answers_are_opened(spark):
+    a, b, c = ("a first remark that is long enough to be found", "another remark that is long enough to be found", "a third remark that is long enough to be found")
+    rows = [(1, 0, f"> {b}\n{a}"), (2, 0, f"> {c}\n{b}"), (3, 0, f"> {a}\n{c}"), (3, 1, "hangs on it"), (9, 0, f"> {c}\nfrom outside")]
+    df = spark.createDataFrame([(x, k, "user", t, "x") for x, k, t in rows], MESSAGES)
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.thread_conv, r.depth) for r in quote_links.conversations(df).collect()}
+    assert got == {(1, 0): (None, 1, 0), (2, 0): (3, 1, 2), (3, 0): (1, 1, 1), (3, 1): (3, 1, 2), (9, 0): (3, 1, 2)}
+
+
 def test_long_reply_chains(spark):
     rows = [(k // 3, k % 3, "user", (f"> this is message number {k - 1} of the chain\n" if k else "") + f"this is message number {k} of the chain", "x") for k in range(40)]
     got = {(r.conv_id, r.turn): r for r in quote_links.conversations(spark.createDataFrame(rows, MESSAGES).repartition(4)).collect()}
