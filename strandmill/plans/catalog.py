@@ -277,7 +277,26 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTAMINANTS = [("planted", "AACATACGGGCNTAGGACGTACANAATG"), ("planted, turned", "GAACTGCGCGGTCCGCGCTCTCTTGTGCTA")]
 
 
-@query("contaminant_hits")
+_LISTED = "(values " + ",".join(f"({k},'{n}',{t},'{x if not t else x[::-1].translate(str.maketrans('ACGT', 'TGCA'))}')" for k, (n, x) in enumerate(CONTAMINANTS) for t in (0, 1)) + ") ct(no,name,turned,s)"
+
+
+@query(
+    "contaminant_hits",
+    # A stretch holds one mismatch at most: mismatches 0, 2, 4, ... lie within one, mismatches 1, 3, 5, ... end one.
+    _with(
+        "short",
+        "select ov.prefix, ov.n, ov.percent, coalesce(b.hit, 'No Hit') as possible_source from ov left join (select prefix, arg_min(format('{} ({}% over {}bp)', name, identity, len), struct_pack(a := -len, b := -identity, c := no, d := turned)) as hit from st where len > 20 group by prefix) b using (prefix)",
+        *DUPS[:1],
+        "ov as (select prefix, n, n::double / (select count(*) from pf) * 100 as percent from du where n::double / (select count(*) from pf) * 100 > 0.1)",
+        f"al as (select prefix, no, name, turned, s, o from ov, {_LISTED}, lateral (select unnest(range((20 - length(s))::bigint, (length(prefix) - 20)::bigint)) as o) where least(length(s), length(prefix) - o) - greatest(0, -o) > 20)",
+        "ps as (select prefix, no, name, turned, o, i, substr(s, (i + 1)::int, 1) = substr(prefix, (i + o + 1)::int, 1) as same from (select *, unnest(range(greatest(0, -o)::bigint, least(length(s), length(prefix) - o)::bigint)) as i from al))",
+        "cn as (select *, coalesce(sum((not same)::int) over (partition by prefix, no, turned, o order by i rows between unbounded preceding and 1 preceding), 0)::int as c, sum((not same)::int) over (partition by prefix, no, turned, o)::int as m, min(i) over (partition by prefix, no, turned, o) as lo from ps)",
+        "en as (select prefix, no, turned, o, (c + 1) // 2 as k, i + 1 as start from cn where not same and c % 2 = 1)",
+        "ht as (select prefix, no, any_value(name) as name, turned, o, c // 2 as k, max(i) as last, any_value(m) as m, any_value(lo) as lo from cn where same group by prefix, no, turned, o, c // 2)",
+        "ln as (select ht.*, ht.last - coalesce(en.start, ht.lo) + 1 as len from ht left join en using (prefix, no, turned, o, k))",
+        "st as (select *, ((len - (m > 2 * k)::int) * 100) // len as identity from ln)",
+    ),
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All overrepresented sequences against two listed ones; none where no sequence is overrepresented."""
     return contaminant_hits(duplication.overrepresented(*_counted(_reads(spark, sf_dir, "short"))), CONTAMINANTS)
@@ -335,7 +354,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motifs.kmer_enrichment(cube, position_frame(spark, _KMER_GROUPS), K).select("kmer", "grp", "hits", "group_total", "obs_exp")
 
 
-@query("kmer_top20")
+@query(
+    "kmer_top20",
+    _with(
+        "short",
+        "select kmer, cnt as count, p, max_obs_exp, label as position from (select kmer, any_value(n)::bigint * 5 as cnt, min(case when p < 0.01::float and obs_exp > 5 then p end) as p, max(obs_exp) as max_obs_exp, arg_max(label, struct_pack(a := obs_exp, b := -grp)) as label from pv group by kmer) x where p < 0.01::float order by max_obs_exp desc, kmer limit 20",
+        KMERS,
+        f"gs as (select * from {duckdb_values(_KMER_GROUPS)})",
+        "kg as (select kmer, n, grp, label from km join gs on pos between lo and hi)",
+        "h as (select kmer, grp, any_value(label) as label, sum(n) as hits from kg group by kmer, grp)",
+        "t as (select grp, sum(n) as group_total from kg group by grp)",
+        "sh as (select kmer, sum(n) as n, (sum(n)::float / (select sum(n) from km)::float)::float as share from km group by kmer)",
+        "ra as (select h.kmer, h.grp, h.label, sh.n, h.hits::bigint as hits, t.group_total::bigint as total, sh.share, (sh.share * t.group_total::float)::float as predicted, (h.hits::float / (sh.share * t.group_total::float)::float)::float as obs_exp from h join t using (grp) join sh using (kmer))",
+        f"pv as (select *, case when hits::float > predicted and obs_exp > 5 then (list_sum(list_transform(range(hits + 1, total + 1), lambda k: exp(lgamma(total + 1) - lgamma(k + 1) - lgamma(total - k + 1) + k * ln(share::double) + (total - k) * ln(1 - share::double)))) * power(4, {K}))::float else 1::float end as p from ra)",
+    ),
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     positions = position_frame(spark, _KMER_GROUPS)
     return motifs.top_kmers(motifs.kmer_enrichment(cubes.kmer_cube(_reads(spark, sf_dir, "short"), K), positions, K), positions)
