@@ -26,7 +26,6 @@ all removed, the first included. Other columns are ignored, whatever their names
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import pickle
 import re
@@ -311,9 +310,6 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, encode: Callable[[s
     spans = shards.repartition(reducers, "reducer").mapInArrow(lambda x: _reduce(x, length, across), "k1 long, k2 long, first array<long>, past array<long>")
     by_doc = spans.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.flatten(F.collect_list("first")).alias(first), F.flatten(F.collect_list("past")).alias(past))
     found = Scratch(docs.sparkSession).write(by_doc)
-    del shards, spans, by_doc
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the segments' shuffle files before the texts are shuffled
     return keyed.join(found, [k1, k2], "left")
 
 

@@ -111,8 +111,13 @@ def partition_keys(n: int) -> np.ndarray:
     return found
 
 
+#: Spark's setting that removes the shuffle files of an execution when it ends.
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Tables written to shared storage to cut lineage: a lost executor rereads them instead of redoing the work before them."""
+    """Tables written to shared storage to cut lineage: a lost executor rereads them instead of redoing the work before them. As they are
+    not made again, what was shuffled to write one goes at once."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/strandmill-{uuid.uuid4().hex}"
@@ -123,7 +128,15 @@ class Scratch:
         """Write df now, and return it as read back."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(REMOVE_SHUFFLES, None)
+        self.spark.conf.set(REMOVE_SHUFFLES, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(REMOVE_SHUFFLES)
+            else:
+                self.spark.conf.set(REMOVE_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, path: str | None = None) -> None:

@@ -23,7 +23,6 @@ whatever their names, and kept by `near_dedup`.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -172,9 +171,6 @@ def links(fps: DataFrame, scratch: Scratch, half: int = 2) -> DataFrame:
         blobs = spread.mapInArrow(lambda x, t=turn: _emit(x, t, keys, half), "bucket int, blob binary")
         met = blobs.repartition(buckets, "bucket").mapInArrow(lambda x: _meet(x, half), "a long, b long")
         out.append(scratch.write(met.distinct()))
-        del blobs, met
-        gc.collect()
-        scratch.spark.sparkContext._jvm.System.gc()  # lets Spark delete the round's shuffle files
     return out[0] if len(out) == 1 else _union(out).distinct()
 
 
@@ -289,8 +285,6 @@ def similar_links(docs: DataFrame, rows: DataFrame, scratch: Scratch, shingle: i
         for done in (met, heads, pairs):
             scratch.drop_table(done)
         met, left = nxt, nxt.count()
-        gc.collect()
-        scratch.spark.sparkContext._jvm.System.gc()
     if not found:
         return same
     fp = owners.select("set_key", "fp")
