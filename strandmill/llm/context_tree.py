@@ -22,7 +22,6 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
-import gc
 import heapq
 import zlib
 from collections import Counter
@@ -181,7 +180,7 @@ class _Batch:
         value = np.empty(len(every))
         cuts = runs(shard[by_shard])
         for a, b in zip(cuts, [*cuts[1:], len(by_shard)], strict=True):
-            value[by_shard[a:b]] = np.frombuffer(answers[int(shard[by_shard[a]])], "<f4")
+            value[by_shard[a:b]] = np.frombuffer(_expand(answers[int(shard[by_shard[a]])])[0], "<f4")
         by_place = value[places(every, gram)]
         size = np.fromiter(map(len, self.streams), np.int64, len(self.streams))
         score = np.add.reduceat(by_place, np.cumsum(size) - size)
@@ -436,7 +435,7 @@ def _answer_grams(batches: Iterator[pa.RecordBatch], code: Code, top: tuple[np.n
         score = np.concatenate([Subtrees(gram[part], n[part], code).scores(top) for part in _parts(gram)]).astype("<f4")
         for batch, blob in blobs:
             own = score[np.searchsorted(gram, _unplane(_expand(blob)[0]))]
-            yield _answer(batch, shard, own.tobytes(), 0)
+            yield _answer(batch, shard, _squeeze(own.tobytes()), 0)
 
 
 def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,12 +488,9 @@ def score(docs: DataFrame) -> DataFrame:
     asked_grams = requests.where((F.col("shard") >= 0) & ~for_words).select("batch", "shard", "asked").repartition(len(keys), "shard")
     asked_words = requests.where(for_words).select("batch", "shard", "asked").repartition(len(word_keys), F.col("shard") - len_words(keys))
     sums = asked_grams.mapInArrow(lambda x: _top_sums(x, code), "node long, n0 long, n1 long, product double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "product")])
-    got = sums.toArrow()  # at most 256 ** (TOP - 1) contexts x 255 decisions
+    got = scratch.write(sums).toArrow()  # at most 256 ** (TOP - 1) contexts x 255 decisions
     column = lambda c: got.column(c).to_numpy()
     top = top_nodes(column("node").view(np.uint64), column("n0"), column("n1"), column("product"))
-    del sums
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the first shuffle of the grams before the second
     of_words = scratch.write(asked_words.mapInArrow(_answer_words, ANSWER))
     tokens, distinct = requests.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0], of_words.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     answers = asked_grams.mapInArrow(lambda x: _answer_grams(x, code, top), ANSWER).unionByName(of_words)
