@@ -6,13 +6,15 @@ feature's bins is fitted to the gradient and added, shrunk, to the feature's loo
 the pairs that explain most of what remains get two-way tables in the same way, by trees that cut both features once. A text's score is
 the logistic function of the intercept plus one table entry a feature and pair: vectorised bin look-ups and additions.
 
-Fitting uses a bounded sample: the `SAMPLE` labelled rows with the least hashes of doc_id among those whose
+Fitting uses a bounded sample: the `SAMPLE` rows of labels with the least hashes of doc_id among those whose
 crc32(doc_id) mod 4 is not 2. It runs on the driver over SAMPLE x features numbers; the model (a few kB) goes to the tasks.
 lang, source, doc_id and labels are no features.
 
 Defined cases: a null text is empty, and has a score like any other. Rows with a null label or id don't train; if nothing
 can train, or one class only, every score is that class's share (0.5 without rows). Repeated rows are scored each; of
-repeated labels each counts. An empty table gives an empty result. Other columns are ignored.
+repeated labels each counts, and of several texts with a label's id the one with the least features trains. Of equally good
+splits and pairs the first is taken. A very long text is one row like any other. An empty table gives an empty result. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -180,7 +182,7 @@ def _matrix(texts: pa.Array) -> np.ndarray:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = _matrix(b.column("text"))
-        yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], ["quality", "x"])
+        yield pa.RecordBatch.from_arrays([b.column("label"), b.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], ["label", "quality", "x"])
 
 
 def remainder(mod: int):
@@ -192,9 +194,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     scratch = Scratch(docs.sparkSession)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (remainder(4) != 2)).select("doc_id", F.col("quality").cast("double").alias("quality"))
     # Bounded by `sample`, so it may be broadcast.
-    chosen = scratch.write(usable.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "quality").limit(sample))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("quality", "text")
-    got = scratch.write(rows.mapInArrow(_features, "quality double, x array<double>")).orderBy(F.xxhash64("x"), "quality").limit(4 * sample).collect()
+    chosen = scratch.write(usable.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "quality").limit(sample).withColumn("label", F.monotonically_increasing_id()))
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "quality", "text")
+    by_label = rows.mapInArrow(_features, "label long, quality double, x array<double>").groupBy("label").agg(F.min("quality").alias("quality"), F.min("x").alias("x"))
+    got = by_label.orderBy("label").collect()  # a row a label of the sample at most
     return fit(np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([r.quality for r in got]))
 
 

@@ -505,3 +505,60 @@ def test_gam_score_is_a_sum_of_table_entries():
     f = [model.base + sum(t[b[i, j]] for j, t in enumerate(model.tables)) + sum(t[b[i, p], b[i, q]] for p, q, t in model.pairs) for i in range(5)]
     assert np.allclose(model.score(x[:5]), 1 / (1 + np.exp(-np.array(f))))
     assert any({p, q} == {0, 1} for p, q, _ in model.pairs) and ((model.score(x) > 0.5) == y).mean() > 0.85
+
+
+def test_gam_splits_are_the_best_ones():
+    rng = np.random.default_rng(3)
+    gain = lambda g, h: g**2 / (h + 1)
+    for _ in range(30):
+        g, h, n = rng.normal(size=12), rng.random(12) * 9, rng.integers(1, 30, 12)
+        step = boosted_gam._tree(g, h, n, leaves=2)
+        cuts = [(gain(g[:c].sum(), h[:c].sum()) + gain(g[c:].sum(), h[c:].sum()), c) for c in range(1, 12) if min(n[:c].sum(), n[c:].sum()) >= boosted_gam.LEAST_LEAF]
+        best, c = max(cuts)
+        want = np.concatenate((np.full(c, g[:c].sum() / (h[:c].sum() + 1)), np.full(12 - c, g[c:].sum() / (h[c:].sum() + 1))))
+        assert best <= gain(g.sum(), h.sum()) + 1e-9 or np.allclose(step, want)
+        g, h, n = rng.normal(size=(5, 6)), rng.random((5, 6)) * 9, rng.integers(5, 30, (5, 6))
+        found, value = boosted_gam._quadrants(g, h, n)
+        every = []
+        for i in range(1, 5):
+            for j in range(1, 6):
+                parts = [(slice(0, i), slice(0, j)), (slice(0, i), slice(j, None)), (slice(i, None), slice(0, j)), (slice(i, None), slice(j, None))]
+                if min(n[p].sum() for p in parts) >= boosted_gam.LEAST_LEAF:
+                    every.append((sum(gain(g[p].sum(), h[p].sum()) for p in parts) - gain(g.sum(), h.sum()), i, j, parts))
+        best = max(every, key=lambda e: e[0])
+        assert found == pytest.approx(best[0]) and all(np.allclose(value[p], g[p].sum() / (h[p].sum() + 1)) for p in best[3])
+
+
+def test_gam_training_rows_are_bounded_by_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(300)] + [(k, "other text here") for k in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 40)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = boosted_gam.fit
+    try:
+        boosted_gam.fit = lambda x, y: seen.append(len(y)) or fit(x, y)
+        boosted_gam.train(docs, labels, 10)
+        boosted_gam.train(docs, labels)
+    finally:
+        boosted_gam.fit = fit
+    assert seen == [10, sum(boosted_gam.crc(k, 4) != 2 for k in range(1, 40))]
+
+
+def test_very_long_texts(spark):
+    """A text of a megabyte among short ones, for the operators whose other tests hold none that long."""
+    rng = random.Random(17)
+    words = [prose(rng, 1) + str(k) for k in range(4000)]
+    long_ = " ".join(rng.choice(words) for _ in range(120_000))
+    df = spark.createDataFrame([(0, long_, "en", "a"), (1, "a short text", "en", "a"), (2, long_ + " end", "en", "b"), (3, None, None, None)], "doc_id long, text string, lang string, source string")
+    assert len(long_) > 1_000_000
+    size = {r.doc_id: r["size"] for r in entropy_mix.mix(df).collect()}
+    assert size == {0: 120_000, 1: 3, 2: 120_001, 3: 0}
+    words_of = {r.doc_id: r.n_words for r in robust_outliers.robust_outliers(df).collect()}
+    assert words_of == {0: 120_000, 1: 3, 2: 120_001, 3: 0}
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    assert all(0 <= r.score <= 1 for r in boosted_gam.quality(df, labels).collect())
+    groups = {r.doc_id: r.component_id for r in simhash_ball.simhash_groups(df).collect()}
+    assert groups[0] == groups[2] == 0
+    stripped = {r.doc_id: r.text for r in bwt_dedup.strip_words(df).collect()}
+    assert stripped[0] == "" and stripped[2].strip() == "end" and stripped[1] == "a short text"
+    scored = {r.doc_id: r.n_tokens for r in context_tree.score(df).collect()}
+    assert scored == {0: 120_001, 1: 4, 2: 120_002, 3: 1}
