@@ -32,6 +32,10 @@ class Module:
     hidden: bool = False
     lead: list[tuple[str, str]] = field(default_factory=list)
     data: dict = field(default_factory=dict)
+    #: Hooks of further modules: (image name, SVG), the text of its section, and the HTML of its card, in place of the usual ones.
+    chart: Callable[[], tuple[str, str] | None] | None = None
+    text: Callable[[], str] | None = None
+    html: Callable[[], str] | None = None
 
 
 @dataclass
@@ -46,12 +50,13 @@ class QcResult:
         return {m.name: m.status for m in self.modules if not m.hidden}
 
 
-#: Further modules: functions from (unfiltered reads, config) to a Module.
-CUSTOM: list[Callable[[DataFrame, QcConfig], Module]] = []
+Build = Callable[[DataFrame, QcConfig], Module]
+#: Further modules: functions from (reads, config) to a Module, and whether they see filtered reads too.
+CUSTOM: list[tuple[Build, bool]] = []
 
 
-def register_module(f: Callable[[DataFrame, QcConfig], Module]) -> Callable[[DataFrame, QcConfig], Module]:
-    CUSTOM.append(f)
+def register_module(f: Build, filtered_too: bool = False) -> Build:
+    CUSTOM.append((f, filtered_too))
     return f
 
 
@@ -145,7 +150,7 @@ def analyze(reads: DataFrame, cfg: QcConfig | None = None, filename: str = "read
         rows = [r.asDict() for r in motifs.top_kmers(motifs.kmer_enrichment(cube, axis, cfg.kmer_size), axis).collect()]
         hidden = ("kmer", "ignore") not in limits.values
         out.append(Module("Kmer Content", "kmer", verdicts.kmer_content(rows, limits), ["Sequence", "Count", "PValue", "Obs/Exp Max", "Max Obs/Exp Position"] if rows else [], [[r["kmer"], str(r["count"]), float_text(r["p"]), float_text(r["max_obs_exp"]), r["position"]] for r in rows], hidden, data={"rows": rows}))
-    out += [f(ok, cfg) for f in CUSTOM]
+    out += [f(reads if filtered_too else ok, cfg) for f, filtered_too in CUSTOM]
     for df in held:
         df.unpersist()
     return QcResult(filename, out)

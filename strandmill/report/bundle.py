@@ -32,7 +32,30 @@ def table(m: Module) -> str:
     return f"<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>" if m.header else "<p>No rows</p>"
 
 
+#: What each module shows, by key.
+ABOUT = {
+    "basic": "Counts of the reads and bases of the file, and the coding of its qualities.",
+    "quality_base": "How qualities are spread at each position: a box from the lower to the upper quartile, whiskers at a tenth and nine tenths, and the mean. It fails where quality falls off towards the end of the reads.",
+    "tile": "How far the mean quality of each tile is from the mean of all tiles at the same position. Single tiles that stand out had a local fault, such as a bubble.",
+    "quality_sequence": "How many reads have which mean quality. A second peak at low values means that a part of the reads is poor as a whole.",
+    "sequence": "The share of each base at each position. In a random library the lines run in parallel; the first bases may differ by the way fragments were primed.",
+    "gc_sequence": "How many reads have which share of G and C, beside a normal curve of the same peak and width. Narrow extra peaks hint at a contaminant.",
+    "n_content": "The share of bases that could not be called, at each position.",
+    "sequence_length": "How long the reads are.",
+    "duplication": "How much of the library consists of sequences that occur so many times, and what would remain without repeats.",
+    "overrepresented": "Sequences that make up more than a thousandth of all reads, with the best match among known contaminants.",
+    "adapter": "The share of reads in which each adapter has begun up to a position.",
+    "kmer": "Short words that occur at some positions far more often than their share of all positions.",
+}
+
+
+def about(m: Module) -> str:
+    return f"<details><summary>About this module</summary><p>{xml(ABOUT[m.key])}</p></details>" if m.key in ABOUT else ""
+
+
 def _body(m: Module) -> str:
+    if m.html:
+        return m.html()
     found = chart(m)
     return minify(found[1]) if found else table(m)
 
@@ -50,7 +73,7 @@ def modern(result: QcResult, day: date) -> str:
     """Cards with verdict icons; each card's table folds out."""
     seen = [m for m in result.modules if not m.hidden]
     nav = "".join(f'<a class="{m.status}" href="#M{k}">{icon(m.status)}{xml(m.name)}</a>' for k, m in enumerate(seen))
-    cards = "".join(f'<section id="M{k}" class="{m.status}"><h2>{icon(m.status)} {xml(m.name)}</h2>{_body(m)}<details><summary>Table</summary>{table(m)}</details></section>' for k, m in enumerate(seen))
+    cards = "".join(f'<section id="M{k}" class="{m.status}"><h2>{icon(m.status)} {xml(m.name)}</h2>{_body(m)}{about(m)}<details><summary>Table</summary>{table(m)}</details></section>' for k, m in enumerate(seen))
     style = ":root{font-family:system-ui,sans-serif}body{display:grid;grid-template-columns:18em 1fr;margin:0}nav{position:sticky;top:0;height:100vh;overflow:auto}nav a{display:block;padding:.4em}section{border:1px solid #ddd;border-radius:8px;margin:1em;padding:1em}td,th{padding:2px 8px;text-align:left}"
     return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{xml(result.filename)} report</title><style>{style}</style></head><body><nav><h1>{xml(result.filename)}</h1><p>{long_date(day)}</p>{nav}</nav><main>{cards}</main></body></html>'
 

@@ -126,6 +126,8 @@ def tile_map(title: str, rows: list[dict], most: float) -> str:
 
 def chart(m: Module) -> tuple[str, str] | None:
     """(file name, SVG) of a module; basic statistics and overrepresented sequences have none."""
+    if m.chart:
+        return m.chart()
     d = m.data
     rows = d.get("rows", [])
     if m.key == "quality_base" and rows:
@@ -154,7 +156,43 @@ def chart(m: Module) -> tuple[str, str] | None:
     return None
 
 
+LINE = re.compile(r'<line x1="([^"]*)" y1="([^"]*)" x2="([^"]*)" y2="([^"]*)"([^>]*)/>')
+RECT = re.compile(r'<rect x="([^"]*)" y="([^"]*)" width="([^"]*)" height="([^"]*)"([^>]*)/>')
+
+
+def _joined(svg: str, pattern: re.Pattern, follows, together) -> str:
+    """Replaces runs of neighbouring elements: follows(a, b) tells whether b goes on from a, together(run) what stands for a run."""
+    out, run, at = [], [], 0
+
+    def flush() -> None:
+        out.append(together(run) if run else "")
+        run.clear()
+
+    for m in pattern.finditer(svg):
+        if m.start() != at or run and not follows(run[-1], m):
+            flush()
+        out.append(svg[at : m.start()])
+        run.append(m)
+        at = m.end()
+    flush()
+    return "".join([*out, svg[at:]])
+
+
+def _polyline(run: list[re.Match]) -> str:
+    if len(run) < 3:
+        return "".join(m[0] for m in run)
+    points = " ".join(f"{x},{y}" for x, y in [(run[0][1], run[0][2]), *[(m[3], m[4]) for m in run]])
+    return f'<polyline points="{points}" fill="none"{run[0][5]}/>'
+
+
+def _wide_rect(run: list[re.Match]) -> str:
+    first = run[0]
+    return f'<rect x="{first[1]}" y="{first[2]}" width="{number(sum(float(m[3]) for m in run))}" height="{first[4]}"{first[5]}/>' if len(run) > 1 else first[0]
+
+
 def minify(svg: str) -> str:
-    """Drops the prolog, comments and space between elements."""
+    """Drops the prolog, comments and space between elements; joins chains of lines, and rows of touching boxes of one look."""
     svg = re.sub(r"<\?xml.*?\?>|<!DOCTYPE.*?>|<!--.*?-->", "", svg, flags=re.S)
-    return re.sub(r">\s+<", "><", svg).strip()
+    svg = re.sub(r">\s+<", "><", svg).strip()
+    svg = _joined(svg, LINE, lambda a, b: (a[3], a[4], a[5]) == (b[1], b[2], b[5]), _polyline)
+    return _joined(svg, RECT, lambda a, b: a.group(2, 4, 5) == b.group(2, 4, 5) and 'stroke="none"' in a[5] and abs(float(a[1]) + float(a[3]) - float(b[1])) < 0.01, _wide_rect)

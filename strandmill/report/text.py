@@ -14,6 +14,9 @@ def data_text(result: QcResult) -> str:
         if m.hidden:
             continue
         lines.append(f">>{m.name}\t{m.status}")
+        if m.text:
+            lines += [*m.text().splitlines(), ">>END_MODULE"]
+            continue
         lines += [f"#{k}\t{v}" for k, v in m.lead]
         if m.header:
             lines.append("#" + "\t".join(m.header))

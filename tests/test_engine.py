@@ -198,3 +198,36 @@ def test_sam_is_read_in_parts(spark, tmp_path):
             read_sequences(spark, [str(tmp_path / "bad.sam")]).count()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_lines_and_boxes_are_joined():
+    from strandmill.report.svg import minify
+
+    line = lambda a, b, extra="": f'<line x1="{a}" y1="{a}" x2="{b}" y2="{b}" stroke="red"{extra}/>'
+    assert minify("\n".join(line(k, k + 1) for k in range(4))) == '<polyline points="0,0 1,1 2,2 3,3 4,4" fill="none" stroke="red"/>'
+    assert minify(line(0, 1) + line(1, 2)) == line(0, 1) + line(1, 2) and minify(line(0, 1) + line(5, 6) + line(6, 7)).count("<line") == 3
+    assert minify(line(0, 1) + line(1, 2) + line(2, 3, ' id="x"')).count("<line") == 3
+    box = lambda x, stroke="none": f'<rect x="{x}" y="5" width="2.5" height="3" fill="#fff" stroke="{stroke}"/>'
+    assert minify(box(0) + box(2.5) + box(5)) == '<rect x="0" y="5" width="7.5" height="3" fill="#fff" stroke="none"/>'
+    assert minify(box(0) + box(9)).count("<rect") == 2 and minify(box(0, "red") + box(2.5, "red")).count("<rect") == 2
+
+
+def test_hooks_of_further_modules(spark, tmp_path):
+    def build(reads, cfg):
+        n = reads.count()
+        chart = lambda: ("own_chart", "<svg><!-- c --></svg>")
+        return engine.Module("Own", "own", "warn", ["n"], [[str(n)]], chart=chart, text=lambda: f"counted\t{n}", html=lambda: f"<p>own card {n}</p>")
+
+    engine.register_module(build)
+    engine.register_module(lambda reads, cfg: engine.Module("All", "all", "pass", ["n"], [[str(reads.count())]]), filtered_too=True)
+    try:
+        df = spark.createDataFrame([(1, "a", "ACGT", "IIII", False), (2, "b", "ACGT", "IIII", True)], "ord long, id string, sequence string, quality string, is_filtered boolean")
+        result = engine.analyze(canonical(df), QcConfig(), "x.fastq")
+    finally:
+        engine.CUSTOM.clear()
+    assert result.table("Own").rows == [["1"]] and result.table("All").rows == [["2"]]
+    assert ">>Own\twarn\ncounted\t1\n>>END_MODULE" in data_text(result)
+    html_path, zip_path = write(result, str(tmp_path / "x.fastq"))
+    page = open(html_path).read()
+    assert "own card 1" in page and "About this module" in page
+    assert any(x.endswith("Images/own_chart.svg") for x in zipfile.ZipFile(zip_path).namelist())
