@@ -42,7 +42,7 @@ ROUND_BITS = 3
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 VALUES_PER_BUCKET, BATCH = 3_000_000, 8192
-PAIRS_PER_ROW = 2
+PAIRS_PER_ROW = 16
 #: At similarity 0.8 two sets share none of 25 bands of 4 MinHash values with a chance of 2 in a million.
 BANDS, ROWS = 25, 4
 FLIPS, FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32)
