@@ -13,7 +13,7 @@ makes all their norms equal, queries have 0 there.
 The queries are a stated set. They come to the blocks, in blocks of their own: each index block is shuffled once, each query once for
 an index block; memory is one block and one query block. `share` is a third as such vectors without clusters need it: in check_s, the nearest
 neighbours of a query lie in half of all pivots' cells (measured: 0.91 of them in the nearest 256 of 512), so that cells can't be left out; measured recall
-at 20 is 0.97 or more over 2,000 and 10,256 vectors of 64 components, a crowd of like vectors among them or not.
+at 20 is 0.999 over 10,256 vectors of 64 components without clusters, 0.947 with a crowd of like vectors among them.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, vectors of another than the commonest
 number of components, and rows without vec_id take no part. Fewer candidates than asked for are all returned. Ties go to
