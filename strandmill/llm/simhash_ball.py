@@ -8,8 +8,8 @@ connection, and a crowd of m at one value costs m - 1 links, not m squared. Link
 Values are shuffled in blobs, not as rows: for each batch of fingerprints and each bucket one sorted, difference-coded,
 compressed array of values with the number of the flipped mask (2 bytes), from which the fingerprint is recovered.
 The pipeline asks for similarity 0.8, which is near 10 bits, beyond any ball that can be emitted. There texts are linked
-besides when their sets of shingles share a MinHash band and an exact check of the two sets finds the similarity; no two sets are paired
-that others connect already, and no bucket emits all its pairs (similar_links).
+besides when their sets of shingles share a MinHash band and an exact check of the two sets finds the similarity; of the pairs in a bucket
+a spanning forest is checked, not all (similar_links).
 
 A value's syndrome (three parities) says in which of eight rounds it is handled, so that a round's shuffle is an eighth
 of the whole; each round's links are written to shared storage.
@@ -42,7 +42,8 @@ ROUND_BITS = 3
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 VALUES_PER_BUCKET, BATCH = 3_000_000, 8192
-PAIRS_PER_ROW = 16
+#: Sets in a bucket's part, and hashes in them together.
+PART_SETS, PART_HASHES = 4096, 4_000_000
 #: At similarity 0.8 two sets share none of 25 bands of 4 MinHash values with a chance of 2 in a million.
 BANDS, ROWS = 25, 4
 FLIPS, FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32)
@@ -219,16 +220,43 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _shingle_sets(docs: DataFrame, owners: DataFrame, shingle: int) -> DataFrame:
-    """set_key, hashes of the sets in owners (set_key, row_key)."""
+def level(size: int) -> int:
+    """Sets are compared with those of like size: level k has sizes above 2 ** (k - 1), up to 2 ** k."""
+    return (size - 1).bit_length()
+
+
+def top_size(size: int, least: float) -> int:
+    """The largest set that can have the similarity to one of this size."""
+    return int(size / least + 1e-9)
+
+
+def sketch(hashes: np.ndarray, k: int) -> bytes:
+    """For level k: of at least 64 bits, and 4 for each of 2 ** k hashes, the parity of the hashes that fall on it. Two sketches don't differ in
+    more bits than there are hashes in just one of the sets."""
+    bits = max(6, k + 2)
+    with np.errstate(over="ignore"):
+        place = (hashes * np.uint64(MULTIPLIER)) >> np.uint64(64 - bits)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=1 << bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def _shingle_sets(docs: DataFrame, owners: DataFrame, shingle: int, least: float) -> DataFrame:
+    """set_key, hashes of the sets in owners (set_key, row_key), and their sketches for all levels of sets that can be similar, from their own on."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("set_key"), pa.array(sets, pa.binary())], ["set_key", "hashes"])
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column("text")]
+            sketches = [[sketch(x, k) for k in range(level(len(x)), level(top_size(len(x), least)) + 1)] for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column("set_key"), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(sketches, pa.list_(pa.binary()))], ["set_key", "hashes", "sketches"])
 
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(_few(owners.select("set_key", "row_key")), "row_key").select("set_key", "text")
-    return texts.mapInArrow(read, "set_key long, hashes binary").dropDuplicates(["set_key"])
+    return texts.mapInArrow(read, "set_key long, hashes binary, sketches array<binary>").dropDuplicates(["set_key"])
+
+
+def alike(x: bytes, y: bytes, least: float) -> bool:
+    """If two sets have a Jaccard similarity of at least `least`."""
+    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both)
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
@@ -238,9 +266,7 @@ def _verified(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
+                keep.append(alike(x.as_py(), y.as_py(), least))
             yield b.drop_columns(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = _few(pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct())
@@ -250,45 +276,147 @@ def _verified(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select(*pairs.columns, "x", "y").mapInArrow(check, pairs.schema)
 
 
+def distances(size: np.ndarray, bits: np.ndarray, own_size: int, own_bits: np.ndarray) -> np.ndarray:
+    """How many hashes at least are in just one of two sets, as a share of both sizes together."""
+    apart = np.bitwise_count(bits ^ own_bits).sum(1, dtype=np.int64)
+    return np.maximum(apart, np.abs(size - own_size)) / (size + own_size)
+
+
+def most_apart(least: float) -> float:
+    """Beyond this distance no two sets have the similarity."""
+    return (1 - least) / (1 + least) + 1e-9
+
+
+def forest(size: np.ndarray, bits: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A spanning forest, least distances first (Prim), of all pairs that can be similar enough."""
+    k = len(size) - 1
+    size, bits, ids = size.copy(), bits.copy(), np.arange(k + 1)
+    near, by, most, out = np.full(k + 1, np.inf), np.zeros(k + 1, np.int64), most_apart(least), []
+    while k:
+        # Place k has the set that came last; those before it are still out of the forest.
+        d = distances(size[:k], bits[:k], size[k], bits[k])
+        closer = np.flatnonzero((d <= most) & (d < near[:k]))
+        near[closer], by[closer] = d[closer], ids[k]
+        j = int(near[:k].argmin())
+        if near[j] < np.inf:
+            out.append((int(by[j]), int(ids[j])))
+        k -= 1
+        for x in (size, bits, ids, near, by):
+            x[[j, k]] = x[[k, j]]
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each value of the keys, from rows in their order."""
+    held = None
+    for b in batches:
+        held = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+        if not len(held):
+            continue
+        change = np.zeros(len(held) - 1, bool)
+        for x in keys:
+            v = held.column(x).to_numpy()
+            change |= v[1:] != v[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield held.slice(lo, hi - lo)
+        held = held.slice(cuts[-1])
+    if held is not None and len(held):
+        yield held
+
+
+def _bits(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
+
+
+def _forests(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    names = ["band", "level", "a", "b"]
+    out: list[tuple[int, int, int, int]] = []
+    for t in _groups(batches, ["band", "level", "part"]):
+        keys, band, k = t.column("set_key").to_numpy(), t.column("band")[0].as_py(), t.column("level")[0].as_py()
+        out.extend((band, k, *sorted((int(keys[i]), int(keys[j])))) for i, j in forest(t.column("size").to_numpy(), _bits(t.column("sketch")), least))
+        if len(out) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if n == "level" else pa.int64()) for n, x in zip(names, zip(*out, strict=True), strict=True)], names)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if n == "level" else pa.int64()) for n, x in zip(names, zip(*out, strict=True), strict=True)], names)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Links between the probes of a group and its other rows that connect all that are similar enough; the sets themselves are compared."""
+    for t in _groups(batches, ["band", "level", "part", "turn"]):
+        probe = t.column("probe").to_numpy()
+        base = np.flatnonzero(~probe)
+        key, size, root, bits, hashes = t.column("set_key").to_numpy(), t.column("size").to_numpy(), t.column("root").to_pylist(), _bits(t.column("sketch")), t.column("hashes")
+        up: dict[int, int] = {}
+
+        def top(x: int, up: dict[int, int] = up) -> int:
+            while x in up:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
+        base_size, base_bits, found = size[base], bits[base], []
+        for i in np.flatnonzero(probe).tolist():
+            d = distances(base_size, base_bits, size[i], bits[i])
+            near = np.flatnonzero(d <= most_apart(least))
+            for j in base[near[np.argsort(d[near], kind="stable")]].tolist():
+                x, y = top(root[i]), top(root[j])
+                if x != y and alike(hashes[i].as_py(), hashes[j].as_py(), least):
+                    up[max(x, y)] = min(x, y)
+                    found.append(sorted((int(key[i]), int(key[j]))))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+
 def similar_links(docs: DataFrame, rows: DataFrame, scratch: Scratch, shingle: int, least: float) -> DataFrame:
     """a, b: links between fingerprints that connect all sets of shingles that share a band and are similar enough.
 
-    In rounds, each band's bucket holds all its sets against a few heads, which then leave the bucket. Sets that are known to be
-    connected, through any band, are not compared again, and a bucket is done when all that is left in it is connected; so every pair that
-    meets in a bucket is compared, or connected by others. Heads are taken from the smallest components of a bucket, as sets without links
-    are those that must meet all others. The number of heads grows as buckets empty, so that a round makes at most `PAIRS_PER_ROW` pairs for each
-    row there was at first, and a large bucket of like texts takes a few rounds of a linear number of pairs, not all pairs at once."""
-    owners = scratch.write(rows.where("size > 0").groupBy("set_key").agg(F.min("row_key").alias("row_key"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    same = rows.where("size > 0").join(owners.select("set_key", F.col("fp").alias("b")), "set_key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-    placed = owners.select("set_key", "size", F.explode("bands").alias("band"))
-    shared = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    met = scratch.write(placed.join(shared, "band").select("band", "set_key", "size", F.col("set_key").alias("root"), F.lit(1).cast("long").alias("kin"), F.xxhash64("band", "set_key").alias("h")))
-    sets = scratch.write(_shingle_sets(docs, owners.join(met.select("set_key").distinct(), "set_key", "left_semi"), shingle))
-    at_first = left = met.count()
-    alike = lambda p, q: F.least(p, q) >= F.lit(least) * F.greatest(p, q)  # noqa: E731  a bound on the similarity
-    found = []
-    while left:
-        heads_each = max(2, PAIRS_PER_ROW * at_first // left)
-        first = F.min(F.struct("kin", "h", "set_key", "size", "root")).alias("s")
-        heads = scratch.write(met.groupBy("band", F.pmod("h", F.lit(heads_each)).alias("part")).agg(first).select("band", F.col("s.set_key").alias("head"), F.col("s.size").alias("head_size"), F.col("s.root").alias("head_root")))
-        pairs = met.join(heads, "band").where((F.col("root") != F.col("head_root")) & alike(F.col("size"), F.col("head_size")))
-        pairs = pairs.select(F.least("set_key", "head").alias("a"), F.greatest("set_key", "head").alias("b"), F.least("root", "head_root").alias("low"), F.greatest("root", "head_root").alias("high")).distinct()
-        pairs = scratch.write(pairs)
-        linked = scratch.write(_verified(sets, pairs, least))
-        found.append(linked.select("a", "b"))
-        joined = _few(components(linked.select(F.col("low").alias("a"), F.col("high").alias("b")), scratch).withColumnRenamed("root", "new_root"))
-        rest = met.join(heads.select("band", F.col("head").alias("set_key")), ["band", "set_key"], "left_anti")
-        rest = rest.drop("kin").join(joined, rest["root"] == joined["node"], "left").withColumn("root", F.coalesce("new_root", "root")).drop("node", "new_root")
-        kin = rest.groupBy("band", "root").agg(F.count("*").alias("kin"))
-        open_ = kin.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-        nxt = scratch.write(rest.join(kin.join(open_, "band"), ["band", "root"]).select("band", "set_key", "size", "root", "kin", "h"))
-        for done in (met, heads, pairs):
-            scratch.drop_table(done)
-        met, left = nxt, nxt.count()
-    if not found:
-        return same
+    A bucket has the sets of one band, and of sizes that can be similar (level). Sketches give a distance that no two sets are nearer than, so pairs beyond
+    `most_apart` need no check; of the others in a bucket, those of a spanning forest are checked, exactly. If all of them
+    hold, or other links connect their ends, all that can be similar in the bucket is connected. Buckets where that isn't so are few; there, every set
+    outside of the bucket's largest component is held against all sets of the bucket that are not connected to it, by sketch and then exactly.
+
+    A bucket of over `PART_SETS` sets (or `PART_HASHES` hashes) is dealt into parts, with a forest in each, and always gets the second step while it has
+    several components; there each part meets each part of the sets outside of the largest component."""
+    sized = rows.where("size > 0")
+    owners = scratch.write(sized.groupBy("set_key").agg(F.min("row_key").alias("row_key"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    same = sized.join(owners.select("set_key", F.col("fp").alias("b")), "set_key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    of_size = lambda n: F.when(n > 1, F.length(F.bin((n - 1).cast("long")))).otherwise(0)  # noqa: E731  level()
+    own = of_size(F.col("size"))
+    levels = F.sequence(own, of_size(F.floor(F.col("size") / F.lit(least) + F.lit(1e-9))))
+    placed = owners.select("set_key", "size", F.explode("bands").alias("band"), own.alias("own"), levels.alias("levels")).select("set_key", "size", "band", "own", F.explode("levels").alias("level"))
+    # Sets of lower levels alone meet in their own.
+    parts = lambda n, hashes: F.greatest(F.ceil(n / F.lit(PART_SETS)), F.ceil(hashes / F.lit(PART_HASHES)), F.lit(1)).cast("int")
+    shared = placed.groupBy("band", "level").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"), F.max("own").alias("highest")).where("n > 1 and highest = level")
+    met = placed.join(shared.select("band", "level", parts(F.col("n"), F.col("hashes")).alias("parts")), ["band", "level"])
+    met = scratch.write(met.withColumn("part", F.pmod(F.xxhash64("set_key", "band"), F.col("parts")).cast("int")))
+    sets = scratch.write(_shingle_sets(docs, owners.join(met.select("set_key").distinct(), "set_key", "left_semi"), shingle, least))
+    its_sketch = F.element_at("sketches", F.col("level") - F.col("own") + 1).alias("sketch")
+
+    keys = ["band", "level", "part"]
+    sketched = met.join(sets.select("set_key", "sketches"), "set_key").select(*keys, "set_key", "size", its_sketch)
+    forests = sketched.repartition(*keys).sortWithinPartitions(*keys, "set_key").mapInArrow(lambda x: _forests(x, least), "band long, level int, a long, b long")
+    forests = scratch.write(forests)
+    linked = scratch.write(_verified(sets, forests.select("a", "b").distinct(), least))
+    roots = scratch.write(components(linked, scratch))
+    root_of = lambda df, key, name: df.join(roots.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+    refuted = root_of(root_of(forests.join(linked, ["a", "b"], "left_anti"), "a", "x"), "b", "y").where("x <> y").select("band", "level")
+    unsure = refuted.union(met.where("parts > 1").select("band", "level")).distinct()
+    rest = root_of(met.join(unsure, ["band", "level"], "left_semi"), "set_key", "root")
+    kin = scratch.write(rest.groupBy("band", "level", "root").agg(F.count("*").alias("n"), F.sum("size").alias("hashes")))
+    largest = kin.groupBy("band", "level").agg(F.max(F.struct("n", "root")).alias("s"), F.sum("n").alias("n"), F.sum("hashes").alias("hashes"), F.count("*").alias("components"))
+    largest = scratch.write(largest.where("components > 1").select("band", "level", F.col("s.root").alias("main"), parts(F.col("n") - F.col("s.n"), F.col("hashes")).alias("turns")))
+    found = linked.select("a", "b")
+    if largest.limit(1).count():
+        rest = rest.join(largest, ["band", "level"]).select(*keys, "set_key", "size", "own", "root", "parts", "turns", (F.col("root") != F.col("main")).alias("outside"))
+        as_base = rest.withColumn("probe", F.lit(False)).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+        as_probe = rest.where("outside").withColumn("probe", F.lit(True)).withColumn("turn", F.pmod(F.xxhash64("band", "set_key"), F.col("turns")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = as_base.unionByName(as_probe).join(sets, "set_key").select(*keys, "turn", "probe", "set_key", "size", "root", its_sketch, "hashes")
+        compared = dealt.repartition(*keys, "turn").sortWithinPartitions(*keys, "turn", "probe", "set_key").mapInArrow(lambda x: _compare(x, least), "a long, b long")
+        found = found.unionByName(scratch.write(compared.distinct()))
     fp = owners.select("set_key", "fp")
-    joined = _union(found).join(fp.select(F.col("set_key").alias("a"), F.col("fp").alias("fa")), "a").join(fp.select(F.col("set_key").alias("b"), F.col("fp").alias("fb")), "b")
+    joined = found.join(fp.select(F.col("set_key").alias("a"), F.col("fp").alias("fa")), "a").join(fp.select(F.col("set_key").alias("b"), F.col("fp").alias("fb")), "b")
     return same.unionByName(joined.where("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))).distinct()
 
 

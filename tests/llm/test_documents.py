@@ -180,6 +180,54 @@ def test_near_dedup_reaches_similarity(spark):
     assert sorted(r.doc_id for r in simhash_ball.near_dedup(df, least=0.8).collect()) == sorted(set(root))
 
 
+@pytest.mark.parametrize("part", [4096, 20])
+def test_crowds_of_near_copies_are_linked_without_all_pairs(spark, monkeypatch, part):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    origin, texts = [word() for _ in range(146)], []
+    for k in range(240):
+        own = list(origin)
+        for _ in range(k % 9):
+            own[rng.randrange(len(own))] = word()
+        texts.append(" ".join(own[: 146 - k % 5]))
+    texts += [" ".join(origin[:n]) for n in (20, 24, 32, 33, 40, 110, 128, 129, 140)]  # across levels
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    similar = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert 1000 < len(similar) < 0.6 * len(texts) ** 2 / 2  # links hold, but not between all
+    checked = []
+    monkeypatch.setattr(simhash_ball, "PART_SETS", part)
+    verified = simhash_ball._verified
+    monkeypatch.setattr(simhash_ball, "_verified", lambda sets, pairs, least: checked.append(pairs.count()) or verified(sets, pairs, least))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    scratch = simhash_ball.Scratch(spark)
+    rows = scratch.write(simhash_ball.signatures(df, 5))
+    fp = {r.doc_id: r.fp for r in rows.collect()}
+    got = [(r.a, r.b) for r in simhash_ball.similar_links(df, rows, scratch, 5, 0.8).collect()]
+
+    def roots(links):
+        root = {x: x for x in fp.values()}
+        for a, b in links:
+            low, high = sorted((root[a], root[b]))
+            root = {x: low if r == high else r for x, r in root.items()}
+        return root
+
+    assert roots(got) == roots((fp[i], fp[j]) for i, j in similar)
+    assert sum(checked) < 0.25 * len(texts) ** 2 / 2
+
+
+def test_sketches_never_rule_out_similar_sets():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 13, 64, 65, 700):
+        x = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for gone in range(0, n, max(1, n // 12)):
+            y = np.unique(np.concatenate([x[gone:], rng.integers(0, 1 << 63, gone // 2, np.uint64)]))
+            if simhash_ball.alike(x.tobytes(), y.tobytes(), 0.8):
+                k = max(simhash_ball.level(len(x)), simhash_ball.level(len(y)))
+                assert all(k <= simhash_ball.level(simhash_ball.top_size(len(s), 0.8)) for s in (x, y))
+                a, b = (np.frombuffer(simhash_ball.sketch(s, k), "<u8") for s in (x, y))
+                assert simhash_ball.distances(np.array([len(x)]), a[None], len(y), b)[0] <= simhash_ball.most_apart(0.8)
+
+
 def _removed(texts, length):
     data = [(t or "").encode() for t in texts]
     n = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
