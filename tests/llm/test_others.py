@@ -41,6 +41,24 @@ def test_nearest_vectors(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_rows_of_a_query_do_not_grow_with_the_blocks(spark, monkeypatch):
+    _, df = _vectors(spark)
+    want = [tuple(r) for r in permutation_index.nearest(df, share=1.0).orderBy("query_id", "rank").collect()]
+    made, search = spark.sparkContext.accumulator(0), permutation_index._search
+
+    def counted(batches, k, share):
+        for b in search(batches, k, share):
+            made.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(permutation_index, "_search", counted)
+    monkeypatch.setattr(permutation_index, "BLOCK", 30)
+    monkeypatch.setattr(permutation_index, "QUERY_BLOCK", 12)
+    got = [tuple(r) for r in permutation_index.nearest(df, share=1.0).orderBy("query_id", "rank").collect()]
+    assert got == want and len(got) == 45 * 20
+    assert made.value <= 45 * 20 * 8  # 45 queries, 30 blocks
+
+
 def test_few_and_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0], 0, "x"), (1, [2.0, 1.0], 0, "x"), (0, [1.0, 2.0], 0, "x")], VECTORS)
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in permutation_index.nearest(few).collect()) == [(0, 1, 0, 5.0), (0, 1, 0, 5.0), (0, 2, 1, 4.0), (0, 2, 1, 4.0)]
