@@ -41,7 +41,9 @@ DEPTH, TOP = 6, 3
 #: Context bytes in a key of 8 bytes; those beyond DEPTH are 0.
 WIDTH = 7
 START, END = b"\n" * WIDTH, b""
-BATCH_BYTES, GRAM_SHARD_BYTES, WORD_SHARD_BYTES, PART, SLOT_BITS = 1 << 23, 40_000_000, 100_000_000, 200_000, 24
+BATCH_BYTES, GRAM_SHARD_BYTES, WORD_SHARD_BYTES, PART, SLOT_BITS = 1 << 23, 40_000_000, 100_000_000, 200_000, 23
+#: Bytes of streams whose grams are in memory at once.
+SLICE_BYTES = 1 << 20
 LOG10 = np.log(10.0)
 REQUEST = "batch long, shard int, asked binary, tokens long"
 ANSWER = "batch long, shard int, answer binary, distinct long"
@@ -110,22 +112,60 @@ def runs(sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(sorted_) else np.zeros(0, np.int64)
 
 
+def slices(streams: list[bytes]) -> Iterator[list[bytes]]:
+    held, size = [], 0
+    for s in streams:
+        held.append(s)
+        size += len(s)
+        if size >= SLICE_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """All values of the parts, sorted, with the sums of their counts."""
+    value, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(value)
+    value, n = value[order], n[order]
+    first = runs(value)
+    return value[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def distinct_grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of the streams, sorted, with their counts."""
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for own in slices(streams):
+        gram = np.sort(grams(own))
+        first = runs(gram)
+        parts.append((gram[first], np.diff(np.append(first, len(gram)))))
+    return added(parts)
+
+
 def gram_shards(gram: np.ndarray, shards: int) -> np.ndarray:
     near = gram >> np.uint64(64 - 8 * TOP)
     with np.errstate(over="ignore"):
         return ((near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
-def places(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where each wanted value stands among the sorted ones, all of which are there: by a hash table, and by bisection where two share a slot."""
-    slot = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-    with np.errstate(over="ignore"):
-        table = np.zeros(1 << SLOT_BITS, np.int32)
-        table[slot(sorted_)] = np.arange(len(sorted_), dtype=np.int32)
-        at = table[slot(wanted)]
-    other = np.flatnonzero(sorted_[at] != wanted)
-    at[other] = np.searchsorted(sorted_, wanted[other])
-    return at
+class Places:
+    """Where values stand among sorted ones, all of which are there: by a hash table, and by bisection where two share a slot."""
+
+    def __init__(self, sorted_: np.ndarray):
+        self.sorted, self.table = sorted_, np.zeros(1 << SLOT_BITS, np.int32)
+        self.table[self._slot(sorted_)] = np.arange(len(sorted_), dtype=np.int32)
+
+    @staticmethod
+    def _slot(x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        at = self.table[self._slot(wanted)]
+        other = np.flatnonzero(self.sorted[at] != wanted)
+        at[other] = np.searchsorted(self.sorted, wanted[other])
+        return at
 
 
 class _Batch:
@@ -137,13 +177,8 @@ class _Batch:
 
     def ask(self, train: np.ndarray, keys: np.ndarray, word_keys: np.ndarray) -> Iterator[tuple[int, bytes, int]]:
         """(shard key, blob, training tokens)."""
-        parts = [np.sort(grams([s for s, t in zip(self.streams, train, strict=True) if t == x])) for x in (True, False)]
-        first = runs(parts[0])
-        known, n = parts[0][first], np.diff(np.append(first, len(parts[0])))
-        every = np.sort(np.concatenate((known, parts[1][runs(parts[1])])))
-        every = every[runs(every)]
-        count = np.zeros(len(every), np.int64)
-        count[np.searchsorted(every, known)] = n
+        known, rest = (distinct_grams([s for s, t in zip(self.streams, train, strict=True) if t == x]) for x in (True, False))
+        every, count = added([known, (rest[0], np.zeros(len(rest[0]), np.int64))])
         shard = gram_shards(every, len(keys))
         order = np.argsort(shard, kind="stable")
         cuts = runs(shard[order])
@@ -172,18 +207,18 @@ class _Batch:
 
     def scores(self, answers: dict[int, bytes], shards: int, word_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: score, known tokens, and the sum of log10(c + 1). answers: by shard, word shards after the others."""
-        gram = grams(self.streams)
-        every = np.sort(gram)
-        every = every[runs(every)]
+        every = distinct_grams(self.streams)[0]
         shard = gram_shards(every, shards)
         by_shard = np.argsort(shard, kind="stable")
         value = np.empty(len(every))
         cuts = runs(shard[by_shard])
         for a, b in zip(cuts, [*cuts[1:], len(by_shard)], strict=True):
             value[by_shard[a:b]] = np.frombuffer(_expand(answers[int(shard[by_shard[a]])])[0], "<f4")
-        by_place = value[places(every, gram)]
-        size = np.fromiter(map(len, self.streams), np.int64, len(self.streams))
-        score = np.add.reduceat(by_place, np.cumsum(size) - size)
+        stand, score = Places(every), [np.zeros(0)]
+        for own in slices(self.streams):
+            size = np.fromiter(map(len, own), np.int64, len(own))
+            score.append(np.add.reduceat(value[stand.of(grams(own))], np.cumsum(size) - size))
+        score = np.concatenate(score)
         count: dict[bytes, int] = {}
         for s, own in self._words(set(chain.from_iterable(self.tokens)), word_shards):
             count.update(zip(own, _array(_expand(answers[shards + s])).tolist(), strict=True))
@@ -392,21 +427,13 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[int, by
 
 def _merged(blobs: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """All grams of a shard, sorted, with the sums of their counts."""
-
-    def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        gram, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(gram)
-        gram, n = gram[order], n[order]
-        first = runs(gram)
-        return gram[first], np.add.reduceat(n, first) if len(first) else n
-
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for _, blob in blobs:
         planes, *count = _expand(blob)
         held.append((_unplane(planes), _array(count)))
         if len(held) > 1 and sum(len(g) for g, _ in held) > max(1_000_000, 2 * len(held[0][0])):
-            held = [joined(held)]
-    return joined(held)
+            held = [added(held)]
+    return added(held)
 
 
 def _parts(gram: np.ndarray) -> Iterator[slice]:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -421,6 +422,24 @@ def test_batches_and_shards_change_nothing(spark, monkeypatch):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
 
 
+def test_scoring_a_batch_takes_little_memory():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(("alpha", "beta", "gamma", "delta", "eps")) + str(rng.randrange(300)) for _ in range(2000)).encode() for _ in range(300)]
+    batch, keys = context_tree._Batch(texts), np.arange(3)
+    asked = {shard: blob for shard, blob, _ in batch.ask(np.ones(len(texts), bool), keys, keys)}
+    split = context_tree.len_words(keys)
+    every, n = context_tree.distinct_grams(batch.streams)
+    assert n.sum() == sum(map(len, batch.streams)) and sorted(set(context_tree.grams(batch.streams).tolist())) == every.tolist()
+    value = lambda gram: (gram % np.uint64(1009)).astype("<f4")
+    answers = {s: context_tree._squeeze(value(context_tree._unplane(context_tree._expand(b)[0])).tobytes()) if s < split else context_tree._squeeze(*context_tree._expand(b)[1:]) for s, b in asked.items()}
+    tracemalloc.start()
+    score = batch.scores(answers, 3, 3)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(score, [value(context_tree.grams([s])).astype(float).sum() for s in batch.streams])
+    assert peak < (4 << context_tree.SLOT_BITS) + 20 * sum(map(len, batch.streams))
+
+
 def test_kt_is_a_probability():
     assert sum(math.comb(9, k) * math.exp(context_tree.kt(np.array([9 - k]), np.array([k]))[0]) for k in range(10)) == pytest.approx(1, abs=1e-8)
     n0, n1 = np.array([0, 3, 5000, 10**9]), np.array([2, 4095, 4096, 10**12])
