@@ -24,9 +24,9 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +51,7 @@ ANSWER = "batch long, shard int, answer binary, distinct long"
 
 def _squeeze(*parts: bytes) -> bytes:
     head = np.array([len(parts), *map(len, parts)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *parts]))
 
 
 def _expand(blob: bytes) -> list[bytes]:
@@ -125,28 +125,48 @@ def slices(streams: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """All values of the parts, sorted, with the sums of their counts."""
+    """All values of the parts, sorted, with the sums of their counts. The list of parts is emptied, so that they are not in memory twice."""
     value, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
     order = np.argsort(value)
     value, n = value[order], n[order]
+    del order
     first = runs(value)
-    return value[first], np.add.reduceat(n, first) if len(first) else n
+    return value[first], np.add.reduceat(n, first, dtype=np.int64) if len(first) else n.astype(np.int64)
 
 
 def distinct_grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The grams of the streams, sorted, with their counts."""
-    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))]
     for own in slices(streams):
-        gram = np.sort(grams(own))
+        gram = grams(own)
+        gram.sort()
         first = runs(gram)
-        parts.append((gram[first], np.diff(np.append(first, len(gram)))))
+        n = np.diff(np.append(first, len(gram)))
+        parts.append((gram[first], n.astype(np.int32) if len(gram) < 1 << 31 else n))
     return added(parts)
 
 
+def gram_values(streams: list[bytes]) -> np.ndarray:
+    """As distinct_grams(), without the counts."""
+    parts = [np.zeros(0, np.uint64)]
+    for own in slices(streams):
+        gram = grams(own)
+        gram.sort()
+        parts.append(gram[runs(gram)])
+    every = np.concatenate(parts)
+    parts.clear()
+    every.sort()
+    return every[runs(every)]
+
+
 def gram_shards(gram: np.ndarray, shards: int) -> np.ndarray:
-    near = gram >> np.uint64(64 - 8 * TOP)
+    shard = gram >> np.uint64(64 - 8 * TOP)
     with np.errstate(over="ignore"):
-        return ((near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+        shard *= np.uint64(0x9E3779B97F4A7C15)
+    shard >>= np.uint64(32)
+    shard %= np.uint64(shards)
+    return shard.astype(np.min_scalar_type(shards))
 
 
 class Places:
@@ -169,63 +189,69 @@ class Places:
 
 
 class _Batch:
-    """Texts with their streams, and what they ask for: grams in order, and words in order, by shard."""
-
-    def __init__(self, texts: list[bytes]):
-        both = [stream(t) for t in texts]
-        self.tokens, self.streams = [t for t, _ in both], [s for _, s in both]
+    """Texts with their streams, and what they ask for: grams in order, and words in order, by shard. Tokens are held as numbers."""
+
+    def __init__(self, texts: Iterable[bytes]):
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        self.streams: list[bytes] = []
+        ids, size = array("i"), array("q")
+        for t in texts:
+            tokens, own = stream(t)
+            ids.extend(map(number.__getitem__, tokens))
+            size.append(len(tokens))
+            self.streams.append(own)
+        number.default_factory = None  # it refers to the table, which would stay in memory
+        self.number, self.ids, self.size = number, np.frombuffer(ids, np.int32), np.frombuffer(size, np.int64)
 
     def ask(self, train: np.ndarray, keys: np.ndarray, word_keys: np.ndarray) -> Iterator[tuple[int, bytes, int]]:
         """(shard key, blob, training tokens)."""
         known, rest = (distinct_grams([s for s, t in zip(self.streams, train, strict=True) if t == x]) for x in (True, False))
-        every, count = added([known, (rest[0], np.zeros(len(rest[0]), np.int64))])
+        parts = [known, (rest[0], np.zeros(len(rest[0]), np.int64))]
+        del known, rest
+        every, count = added(parts)
         shard = gram_shards(every, len(keys))
         order = np.argsort(shard, kind="stable")
         cuts = runs(shard[order])
         for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
             own = order[a:b]
             yield int(keys[shard[own[0]]]), _squeeze(_planes(every[own]), *_numbers(count[own])), 0
-        words: Counter[bytes] = Counter()
-        for tokens, t in zip(self.tokens, train, strict=True):
-            if t:
-                words.update(tokens)
-            else:
-                for w in tokens:
-                    words[w] += 0
-        for s, own in self._words(words, len(word_keys)):
-            counts = np.array([words[w] for w in own], np.int64)
-            yield len_words(keys) + int(word_keys[s]), _squeeze(b"\n".join(own), *_numbers(counts)), int(counts.sum())
-
-    @staticmethod
-    def _words(words, shards: int) -> Iterator[tuple[int, list[bytes]]]:
-        ordered = sorted(words)
+        del every, count, shard, order
+        tokens = np.bincount(self.ids[np.repeat(train, self.size)], minlength=len(self.number))
+        for s, own, ids in self._words(len(word_keys)):
+            yield len_words(keys) + int(word_keys[s]), _squeeze(b"\n".join(own), *_numbers(tokens[ids])), int(tokens[ids].sum())
+
+    def _words(self, shards: int) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+        """Each shard's distinct words, in order, and their numbers."""
+        ordered = sorted(self.number)
+        ids = np.fromiter(map(self.number.__getitem__, ordered), np.int32, len(ordered))
         shard = np.fromiter(map(zlib.crc32, ordered), np.int64, len(ordered)) % shards
         order = np.argsort(shard, kind="stable")
         cuts = runs(shard[order])
         for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-            yield int(shard[order[a]]), [ordered[i] for i in order[a:b].tolist()]
+            own = order[a:b]
+            yield int(shard[own[0]]), [ordered[i] for i in own.tolist()], ids[own]
 
     def scores(self, answers: dict[int, bytes], shards: int, word_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: score, known tokens, and the sum of log10(c + 1). answers: by shard, word shards after the others."""
-        every = distinct_grams(self.streams)[0]
+        every = gram_values(self.streams)
         shard = gram_shards(every, shards)
         by_shard = np.argsort(shard, kind="stable")
-        value = np.empty(len(every))
+        value = np.empty(len(every), "<f4")
         cuts = runs(shard[by_shard])
         for a, b in zip(cuts, [*cuts[1:], len(by_shard)], strict=True):
             value[by_shard[a:b]] = np.frombuffer(_expand(answers[int(shard[by_shard[a]])])[0], "<f4")
+        del shard, by_shard
         stand, score = Places(every), [np.zeros(0)]
         for own in slices(self.streams):
             size = np.fromiter(map(len, own), np.int64, len(own))
-            score.append(np.add.reduceat(value[stand.of(grams(own))], np.cumsum(size) - size))
-        score = np.concatenate(score)
-        count: dict[bytes, int] = {}
-        for s, own in self._words(set(chain.from_iterable(self.tokens)), word_shards):
-            count.update(zip(own, _array(_expand(answers[shards + s])).tolist(), strict=True))
-        flat = np.fromiter(map(count.__getitem__, chain.from_iterable(self.tokens)), np.int64)
-        n = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
-        begin = np.cumsum(n) - n
-        return score, np.add.reduceat((flat > 0).astype(np.int64), begin), np.add.reduceat(np.log10(flat + 1.0), begin)
+            score.append(np.add.reduceat(value[stand.of(grams(own))].astype(float), np.cumsum(size) - size))
+        del every, value, stand
+        count = np.zeros(len(self.number), np.int64)
+        for s, _, ids in self._words(word_shards):
+            count[ids] = _array(_expand(answers[shards + s]))
+        begin = np.cumsum(self.size) - self.size
+        return np.concatenate(score), np.add.reduceat((count > 0).astype(np.int64)[self.ids], begin), np.add.reduceat(np.log10(count + 1.0)[self.ids], begin)
 
 
 def len_words(keys: np.ndarray) -> int:
@@ -385,8 +411,10 @@ def _requests(batches: Iterator[pa.RecordBatch], keys: np.ndarray, word_keys: np
 
     def flush() -> pa.RecordBatch:
         train = [not h for _, h, _ in held]
-        batch = _Batch([t for _, _, t in held])
-        histogram = np.bincount(np.frombuffer(b"".join([s for s, t in zip(batch.streams, train, strict=True) if t]), np.uint8), minlength=256)
+        batch = _Batch(t for _, _, t in held)
+        histogram = np.zeros(256, np.int64)
+        for own in slices([s for s, t in zip(batch.streams, train, strict=True) if t]):
+            histogram += np.bincount(np.frombuffer(b"".join(own), np.uint8), minlength=256)
         ids = np.array([-1 if d is None else d for d, _, _ in held], "<i8")
         missing = np.array([d is None for d, _, _ in held])
         whole = _squeeze(ids.tobytes(), missing.tobytes(), np.array(train).tobytes(), *_numbers(np.array([len(t) for _, _, t in held], np.int64)), b"".join([t for _, _, t in held]))
@@ -487,12 +515,12 @@ def _finish(asked: pa.Table, answers: pa.Table, keys: np.ndarray, word_keys: np.
     got = {number[s]: blob.as_py() for s, blob in zip(answers.column("shard").to_pylist(), answers.column("answer"), strict=True)}
     ids, missing, train, *size, text = _expand(asked.column("asked")[0].as_py())
     ends = np.cumsum(_array(size))
-    batch = _Batch([text[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
+    batch = _Batch(text[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+    del text
     score, known, base = batch.scores(got, len(keys), len(word_keys))
     doc_id = pa.array(np.frombuffer(ids, "<i8"), pa.int64(), mask=np.frombuffer(missing, bool))
-    n = np.array([len(t) for t in batch.tokens], np.int64)
     coded = np.array([len(s) for s in batch.streams], np.int64)
-    return pa.table({"doc_id": doc_id, "held_out": pa.array(~np.frombuffer(train, bool)), "n_tokens": pa.array(n), "n_known": pa.array(known), "base": pa.array(base), "score": pa.array(score), "n_coded": pa.array(coded)})
+    return pa.table({"doc_id": doc_id, "held_out": pa.array(~np.frombuffer(train, bool)), "n_tokens": pa.array(batch.size), "n_known": pa.array(known), "base": pa.array(base), "score": pa.array(score), "n_coded": pa.array(coded)})
 
 
 def remainder(mod: int):

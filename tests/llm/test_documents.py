@@ -440,6 +440,30 @@ def test_scoring_a_batch_takes_little_memory():
     assert peak < (4 << context_tree.SLOT_BITS) + 20 * sum(map(len, batch.streams))
 
 
+def test_a_batch_of_many_words_takes_little_memory():
+    rng = random.Random(7)
+    texts = [" ".join(f"{rng.randrange(1 << 40):x}"[: rng.randrange(2, 8)] for _ in range(4000)).encode() for _ in range(200)]
+    train, keys, size = np.arange(len(texts)) % 7 != 2, np.arange(3), sum(map(len, texts))
+
+    def peak(work):
+        tracemalloc.start()
+        got = work(context_tree._Batch(texts))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got, most
+
+    asked, most = peak(lambda batch: list(batch.ask(train, keys, keys)))
+    assert most < 64 * size
+    split = context_tree.len_words(keys)
+    answers = {s: context_tree._squeeze(np.ones(len(context_tree._unplane(context_tree._expand(b)[0])), "<f4").tobytes()) if s < split else context_tree._squeeze(*context_tree._expand(b)[1:]) for s, b, _ in asked}
+    (score, known, base), most = peak(lambda batch: batch.scores(answers, 3, 3))
+    assert most < (4 << context_tree.SLOT_BITS) + 54 * size
+    count = Counter(w for t, x in zip(texts, train, strict=True) if x for w in context_tree.stream(t)[0])
+    tokens = [context_tree.stream(t)[0] for t in texts]
+    assert score.tolist() == [len(context_tree.stream(t)[1]) for t in texts] and known.tolist() == [sum(count[w] > 0 for w in t) for t in tokens]
+    assert np.allclose(base, [sum(math.log10(count[w] + 1) for w in t) for t in tokens])
+
+
 def test_kt_is_a_probability():
     assert sum(math.comb(9, k) * math.exp(context_tree.kt(np.array([9 - k]), np.array([k]))[0]) for k in range(10)) == pytest.approx(1, abs=1e-8)
     n0, n1 = np.array([0, 3, 5000, 10**9]), np.array([2, 4095, 4096, 10**12])
