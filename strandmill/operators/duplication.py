@@ -10,9 +10,9 @@ SLOT_EDGES = (9, 49, 99, 499, 999, 4999, 9999)
 SLOT_LABELS = ("1", "2", "3", "4", "5", "6", "7", "8", "9", ">10", ">50", ">100", ">500", ">1k", ">5k", ">10k+")
 
 
-def admitted(cube: DataFrame, limit: int) -> DataFrame:
-    """The prefixes that came before the limit on different ones was reached: a top-k by first occurrence, and only if there are more."""
-    if cube.count() <= limit:
+def admitted(cube: DataFrame, limit: int | None) -> DataFrame:
+    """The prefixes that came before the limit on different ones was reached: a top-k by first occurrence, and only if there are more. All without a limit."""
+    if limit is None or cube.count() <= limit:
         return cube
     return cube.orderBy("first_ord").limit(limit)
 
@@ -35,10 +35,12 @@ def corrected(level: Column, seen: Column, at_limit: Column, total: Column) -> C
     return F.when((at_limit == total) | (total - seen < at_limit), seen.cast("double")).otherwise(seen / (1 - chance))
 
 
-def duplication_levels(cube: DataFrame, total: int, limit: int = 100_000) -> DataFrame:
-    """slot (0..15), level (label), percent of all reads after deduplication is corrected; deduplicated: percent left (100 if empty), in every row."""
-    prefixes = cube.count()
-    if prefixes < limit:  # nothing was frozen: one aggregation of the cube
+def duplication_levels(cube: DataFrame, total: int, limit: int | None = 100_000) -> DataFrame:
+    """slot (0..15), level (label), percent of all reads after deduplication is corrected; deduplicated: percent left (100 if empty), in every row.
+
+    Without a limit every prefix is counted and nothing is corrected.
+    """
+    if limit is None or cube.count() < limit:  # nothing was frozen: one aggregation of the cube
         levels = cube.groupBy("n").agg(F.count("*").alias("seen")).withColumn("at_limit", F.lit(total).cast("long"))
     else:
         kept = admitted(cube, limit)
@@ -58,7 +60,7 @@ def duplication_levels(cube: DataFrame, total: int, limit: int = 100_000) -> Dat
     )
 
 
-def overrepresented(cube: DataFrame, total: int, limit: int = 100_000, least: float = 0.1) -> DataFrame:
+def overrepresented(cube: DataFrame, total: int, limit: int | None = 100_000, least: float = 0.1) -> DataFrame:
     """prefix, n, percent (of all reads, over `least`), most frequent first, then in order of the sequence."""
     percent = F.col("n") / F.lit(float(total or 1)) * 100
     return admitted(cube, limit).select("prefix", "n", percent.alias("percent")).where(F.col("percent") > least).orderBy(F.desc("n"), "prefix") if total else cube.select("prefix", "n", F.lit(0.0).alias("percent")).limit(0)
