@@ -14,12 +14,17 @@ def reverse_complement(s: Column) -> Column:
     return F.reverse(complement(s))
 
 
+def _without(s: Column, letter: str) -> Column:
+    """By bytes; translate() looks each character up in a map."""
+    return F.replace(s, F.lit(letter), F.lit(""))
+
+
 def gc_count(s: Column) -> Column:
-    return F.length(s) - F.length(F.translate(s, "GC", ""))
+    return F.length(s) - F.length(_without(_without(s, "G"), "C"))
 
 
 def base_count(s: Column, base: str) -> Column:
-    return (F.length(s) - F.length(F.translate(s, base, ""))).cast("long")
+    return (F.length(s) - F.length(_without(s, base))).cast("long")
 
 
 def truncated_length(n: Column) -> Column:

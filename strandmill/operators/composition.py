@@ -18,7 +18,7 @@ def basic_stats(reads: DataFrame) -> DataFrame:
     """One row: total and filtered reads, bases, lengths, %GC, lowest character, encoding. Filtered reads count only as such."""
     ok = ~F.col("is_filtered")
     n = lambda b: F.sum(F.when(ok, base_count(F.col("sequence"), b))).alias(b)
-    lowest = F.when(F.length("quality") > 0, F.array_min(F.transform(F.split("quality", ""), lambda c: F.when(c != "", F.ascii(c)))))
+    lowest = F.when(F.length("quality") > 0, F.ascii(F.array_min(F.split("quality", ""))))
     one = reads.agg(
         F.count_if(ok).alias("total_sequences"), F.count_if(~ok).alias("filtered_sequences"),
         F.coalesce(F.sum(F.when(ok, F.length("sequence"))), F.lit(0)).alias("total_bases"),
@@ -62,9 +62,11 @@ def _bins(frame: DataFrame) -> DataFrame:
 def gc_distribution(cube: DataFrame) -> DataFrame:
     """bin (0..100), n: each read adds 1 / (counts of its length that claim the bin) to every bin it claims."""
     rows = cube.where("tlen > 0").groupBy("tlen", "gc").agg(F.sum("n").alias("n"))
-    model = rows.select("tlen").distinct().select("tlen", F.explode(F.sequence(F.lit(0), F.col("tlen"))).alias("gc"))
-    claims = _bins(model).groupBy("tlen", "bin").agg(F.count("*").alias("claims"))
-    got = _bins(rows).join(claims, ["tlen", "bin"]).groupBy("bin").agg(F.sum(F.col("n") / F.col("claims")).alias("n"))
+    # A length's counts as one map, at most tlen + 1 entries, so that the cube is read once for the claims and the reads.
+    by_length = rows.groupBy("tlen").agg(F.map_from_entries(F.collect_list(F.struct("gc", "n"))).alias("found"))
+    model = by_length.select("tlen", "found", F.explode(F.sequence(F.lit(0), F.col("tlen"))).alias("gc")).select("tlen", "gc", F.coalesce(F.try_element_at("found", F.col("gc")), F.lit(0)).alias("n"))
+    claims = _bins(model).groupBy("tlen", "bin").agg(F.count("*").alias("claims"), F.sum("n").alias("n"))
+    got = claims.groupBy("bin").agg(F.sum(F.col("n") / F.col("claims")).alias("n"))
     axis = cube.sparkSession.range(101).select(F.col("id").cast("int").alias("bin"))
     return axis.join(got, "bin", "left").select("bin", F.coalesce("n", F.lit(0.0)).alias("n"))
 

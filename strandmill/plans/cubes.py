@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import adapter_index, dup_prefix, gc_count, mean_quality, truncated_length
+from ..functions.columns import adapter_index, dup_prefix
+from ..functions.letters import READS, count_reads
 
 QUALITY_SLOTS = 149
 KMER_BASES, KMER_EVERY = 500, 50
@@ -30,8 +31,7 @@ def quality_cube(reads: DataFrame) -> DataFrame:
 
 def read_cube(reads: DataFrame) -> DataFrame:
     """len, tlen (truncated), gc (within tlen), avgq (null without qualities), n."""
-    rows = reads.select(F.length("sequence").alias("len"), truncated_length(F.length("sequence")).alias("tlen"), F.col("sequence"), mean_quality(F.col("quality")).alias("avgq"))
-    return rows.select("len", "tlen", gc_count(F.substring("sequence", F.lit(1), F.col("tlen"))).alias("gc"), "avgq").groupBy("len", "tlen", "gc", "avgq").agg(F.count("*").alias("n"))
+    return reads.select("sequence", "quality").mapInArrow(count_reads, READS).groupBy("len", "tlen", "gc", "avgq").agg(F.sum("n").alias("n"))
 
 
 def duplicate_cube(reads: DataFrame, dup_length: int = 0) -> DataFrame:

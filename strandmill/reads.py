@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.letters import mapped
 from .session import spread
 
 SCHEMA = "sample string, file_idx int, ord long, ord_pf long, ord_q long, id string, sequence string, quality string, is_filtered boolean, colorspace string"
@@ -42,6 +43,29 @@ from {documents}"""
 VIEWS = {"short": SHORT, "mid": MID, "long": LONG}
 
 
+_HEX = lambda to: bytes(range(256)).translate(bytes.maketrans(b"0123456789abcdef", to))
+_BASES, _QUALITIES = _HEX(b"ACGTACGTACGTACGN"), _HEX(b"IIIIHHGGFEDC@?:5")
+_FROM, _TO = (bytes(range(65, 91)).replace(b"N", b"") + bytes(range(97, 123)), b"ACGTACGTACGTACGTACGTACGTAACGTACGTACGTACGTACGTACGTAC")
+_PLAIN = bytes(_TO[_FROM.index(c)] if c in _FROM else ord("N") for c in range(256))
+#: For each view: the table, its columns, the select in Spark up to the letters of sequence and quality (the same as above, cut before it is
+#: translated), and the letters: what translate() looks up in a map a character is put by a table a batch.
+SPARK = {
+    "short": ("events", ("event_id", "user_id", "event_type"), (
+        "event_id+1 as ord", "concat('@SIM:1:FC:1:',cast(1101+event_id%8 as string),':',cast(event_id as string),':1') as id",
+        "substr(concat(md5(concat(event_type,cast(user_id%50 as string))),md5(concat(cast(user_id%50 as string),event_type))),1,cast(30+user_id%11 as int)) as sequence",
+        "substr(concat(md5(cast(event_id as string)),md5(cast(event_id+7 as string))),1,cast(30+user_id%11 as int)) as quality", "event_id%17=0 as is_filtered",
+    ), {"sequence": _BASES, "quality": _QUALITIES}),
+    "mid": ("events", ("event_id", "user_id"), (
+        "event_id+1 as ord", "concat('@MID:1:FC:1:1101:',cast(event_id as string),':1') as id",
+        "substr(concat(case when event_id%10=3 then concat(substr({b},1,cast(user_id%60 as int)),'AGATCGGAAGAG') else '' end,{b}),1,cast(100+user_id%21 as int)) as sequence".format(
+            b="concat(md5(concat('a',cast(event_id%700 as string))),md5(concat('b',cast(event_id%700 as string))),md5(concat('c',cast(event_id as string))),md5(concat('d',cast(event_id as string))))"),
+        "substr(concat(md5(cast(event_id as string)),md5(cast(event_id+1 as string)),md5(cast(event_id+2 as string)),md5(cast(event_id+3 as string))),1,cast(100+user_id%21 as int)) as quality", "false as is_filtered",
+    ), {"sequence": _BASES, "quality": _QUALITIES}),
+    "long": ("documents", ("doc_id", "text"), ("doc_id+1 as ord", "concat('@LONG:',cast(doc_id as string)) as id", "text as sequence", "'' as quality", "false as is_filtered"),
+             {"sequence": _PLAIN}),
+}
+
+
 def duckdb_reads(view: str) -> str:
     return VIEWS[view].format(S="varchar", G=",'g'", events="events", documents="documents")
 
@@ -56,13 +80,14 @@ def canonical(df: DataFrame, sample: str = "sample") -> DataFrame:
 
 
 def fixture_reads(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    table = "documents" if view == "long" else "events"
-    source = f"parquet.`{sf_dir}/{table}.parquet`"
-    made = spark.sql(VIEWS[view].format(S="string", G="", events=source, documents=source))
+    """The table's rows are dealt out as they are, before anything is made of them."""
+    table, columns, made, letters = SPARK[view]
+    made = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)).selectExpr(*made)
+    made = made.withColumns({name: mapped(F.col(name), put) for name, put in letters.items()})
     if view == "short":  # every 17th event, from the first on, is filtered; all have qualities
         place = F.col("ord") - 1 - F.floor((F.col("ord") - 1) / 17)
         made = made.withColumns({name: F.when(~F.col("is_filtered"), place) for name in ("ord_pf", "ord_q")})
-    return spread(canonical(made, view))
+    return canonical(made, view)
 
 
 def passed(reads: DataFrame) -> DataFrame:
