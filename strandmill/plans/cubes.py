@@ -1,4 +1,4 @@
-"""The shared aggregates that all modules are derived from. Each is one partial and final hash aggregation over the reads."""
+"""The shared aggregates that all modules are derived from. Each is one partial and final aggregation over the reads."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import adapter_index, dup_prefix
-from ..functions.letters import READS, count_reads
+from ..functions.letters import PLACES, READS, count_places, count_reads
 
 QUALITY_SLOTS = 149
 KMER_BASES, KMER_EVERY = 500, 50
@@ -19,14 +19,19 @@ def _chars(df: DataFrame, column: str, *keys: str) -> DataFrame:
     return long.withColumn("pos", F.col("pos") + 1)
 
 
+def _places(reads: DataFrame, column: str) -> DataFrame:
+    """pos (1-based), c, n: counted in Arrow batches, so no row a character is made."""
+    return reads.select(column).mapInArrow(count_places, PLACES).groupBy("pos", "c").agg(F.sum("n").alias("n"))
+
+
 def base_cube(reads: DataFrame) -> DataFrame:
     """pos, base, n."""
-    return _chars(reads, "sequence").groupBy("pos", F.col("c").alias("base")).agg(F.count("*").alias("n"))
+    return _places(reads, "sequence").withColumnRenamed("c", "base")
 
 
 def quality_cube(reads: DataFrame) -> DataFrame:
     """pos, q (ASCII code), n."""
-    return _chars(reads, "quality").groupBy("pos", "c").agg(F.count("*").alias("n")).select("pos", F.least(F.ascii("c"), F.lit(QUALITY_SLOTS)).alias("q"), "n")
+    return _places(reads, "quality").select("pos", F.least(F.ascii("c"), F.lit(QUALITY_SLOTS)).alias("q"), "n")
 
 
 def read_cube(reads: DataFrame) -> DataFrame:
@@ -55,7 +60,8 @@ def tile_cube(reads: DataFrame, field: int) -> DataFrame:
 
 
 def tile_sample(reads: DataFrame) -> DataFrame:
-    return reads.where((F.length("quality") > 0) & ((F.col("ord_q") <= TILE_ALL) | (F.col("ord_q") % TILE_EVERY == 0)))
+    """The place first: the quality of the reads left out need not be made."""
+    return reads.where(((F.col("ord_q") <= TILE_ALL) | (F.col("ord_q") % TILE_EVERY == 0)) & (F.length("quality") > 0))
 
 
 def kmer_cube(reads: DataFrame, k: int) -> DataFrame:

@@ -53,3 +53,35 @@ def test_gc_distribution_reads_the_reads_once(spark, tmp_path):
     assert plan.count("parquet") == 1 and "regexp_replace" not in plan
     n = sum(r.n for r in composition.gc_distribution(cubes.read_cube(_reads(spark))).collect())
     assert n > 0
+
+
+@pytest.mark.parametrize("piece, cells", [(1, 1 << 22), (40, 50), (1 << 22, 1), (1 << 22, 1 << 22)])
+def test_place_counts(monkeypatch, piece, cells):
+    monkeypatch.setattr(letters, "PIECE", piece)
+    monkeypatch.setattr(letters, "CELLS", cells)
+    batch = pa.RecordBatch.from_arrays([pa.array(TEXTS)], ["sequence"])
+    got = Counter()
+    for b in letters.count_places(iter([batch, batch.slice(3, 4), batch.slice(0, 0)])):
+        for r in b.to_pylist():
+            got[r["pos"], r["c"]] += r["n"]
+    assert got == Counter((k, c) for s in [*TEXTS, *TEXTS[3:7]] if s for k, c in enumerate(s, 1))
+
+
+def test_places_are_counted_without_a_row_a_character(spark):
+    reads = _reads(spark)
+    for cube, column in ((cubes.base_cube(reads), "sequence"), (cubes.quality_cube(reads), "quality")):
+        assert "Generate" not in _plan(cube)
+        assert sum(r.n for r in cube.collect()) == sum(len(r[0] or "") for r in reads.select(column).collect())
+    lowest = _plan(composition.basic_stats(reads))
+    assert "lambda" not in lowest
+
+
+def test_the_quality_of_reads_outside_the_tile_sample_is_not_made(spark):
+    from .conftest import SMALL
+
+    from strandmill.reads import fixture_reads, passed
+
+    plan = _plan(cubes.tile_cube(passed(fixture_reads(spark, SMALL, "short")), 4)).splitlines()
+    made = [k for k, line in enumerate(plan) if "EvalPython" in line]
+    # The place is asked below the first step in Python, above the scan.
+    assert any("% 10" in line for line in plan[made[-1] + 1 :])
